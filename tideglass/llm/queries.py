@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tideglass.llm import common
 
 
@@ -14,8 +16,31 @@ def op3_harmonic_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_matroska(spark, sf_dir):
+    from tideglass.llm.matroska import read_media, text_to_media
+
+    read = read_media(text_to_media(common.table(spark, sf_dir, "documents")), with_packets=True)
+    spans = F.aggregate("packets", F.lit(0).cast("bigint"), lambda total, p: total + p["size"])
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("codec=%s;packets=%d;clusters=%d;cues=%d;ms=%d;bytes=%d;last_ns=%d;sum=%d;crossings=%d", "codec", "n_packets", "n_clusters", "n_cues", (F.col("duration_ns") / 1_000_000).cast("bigint"), spans, F.expr("element_at(packets, -1).timestamp_ns"), "level_sum", "level_crossings").alias("feature"),
+    )
+
+
+def op5_dart_minhash(spark, sf_dir):
+    from tideglass.llm.dart_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(common.table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op3_harmonic_packing": op3_harmonic_packing}
+    return {f.__name__: f for f in (op3_harmonic_packing, op4_matroska, op5_dart_minhash)}
 
 
 def oracle_sql():
