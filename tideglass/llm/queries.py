@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 from tideglass.llm import common
 
 
+def op1_imatch_fingerprints(spark, sf_dir):
+    from tideglass.llm.imatch import fingerprint_pairs
+
+    return fingerprint_pairs(common.table(spark, sf_dir, "documents"))
+
+
+def op2_trie_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from tideglass.llm.trie_tokens import token_counts
+
+    return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_harmonic_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -39,8 +53,26 @@ def op5_dart_minhash(spark, sf_dir):
     return near_duplicate_classes(common.table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_language_model(spark, sf_dir):
+    from tideglass.llm.hmm import hmm_scores
+
+    return hmm_scores(common.table(spark, sf_dir, "documents"), F.expr("crc32(cast(doc_id as string)) % 5 = 1"))
+
+
+def op7_knn_toxicity(spark, sf_dir):
+    from tideglass.llm.knn_toxicity import fit, score_documents
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    scorer = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), F.expr("crc32(cast(doc_id as string)) % 5 != 0"))
+    scored = score_documents(docs.select("doc_id", "text"), scorer)
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), F.col("toxic_score").alias("score"), F.expr("cast(toxic_score >= 0.5 as int)").alias("predicted"), "toxic_neighbours", "toxic_nearest")
+
+
+OPERATORS = (op1_imatch_fingerprints, op2_trie_token_counts, op3_harmonic_packing, op4_matroska, op5_dart_minhash, op6_hmm_language_model, op7_knn_toxicity)
+
+
 def queries():
-    return {f.__name__: f for f in (op3_harmonic_packing, op4_matroska, op5_dart_minhash)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql():
