@@ -11,9 +11,10 @@ with probability equal to their weighted Jaccard similarity (Christiani, DartMin
 
 Classes are the components of the graph of links: pairs of texts that share a band and whose exact
 similarity (weighted, or of the plain sets) reaches the threshold. No pairs are listed within a
-group: equal texts are one node; each bucket links its members to one centre, then what is still
-apart to a second one; only pairs that two such rounds leave in different classes are compared
-each with each, so no link between classes is lost to the centres.
+group: equal texts are one node, and each bucket links its members to one centre first. Only where
+that leaves a bucket's members in different classes do they meet each other, and a pair of them
+leaves the join once, at its first common band, and only if its packed sketches (four bits of each
+coordinate) agree as a pair at the threshold would with all but 3 in a million chance.
 
 Defined results: null text counts as empty; all empty texts are one class; a text of under five
 words is one element; a null id stays null and a class of null ids only has a null class id;
@@ -27,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import cut
@@ -170,9 +171,10 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return found.view(np.int64)
 
 
-def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> np.ndarray:
-    """Band hashes (texts, bands) of whole texts."""
+def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (texts, bands) and packed sketches of whole texts."""
     out = np.empty((len(texts), bands), np.int64)
+    sketches = np.empty((len(texts), -(-bands * rows // 16)), np.int64)
     cells: list[np.ndarray] = []
     start = held = 0
 
@@ -180,7 +182,8 @@ def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size
         nonlocal cells, start, held
         if until > start:
             owner = np.repeat(np.arange(until - start), [len(c) for c in cells])
-            out[start:until] = band_hashes(darts(np.concatenate(cells), None, owner, until - start, bands * rows), bands, rows)
+            signature = darts(np.concatenate(cells), None, owner, until - start, bands * rows)
+            out[start:until], sketches[start:until] = band_hashes(signature, bands, rows), packed(signature)
         cells, start, held = [], until, 0
 
     for i, text in enumerate(texts):
@@ -191,7 +194,7 @@ def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size
         if held > CELLS:
             flush(i + 1)
     flush(len(texts))
-    return out
+    return out, sketches
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -202,22 +205,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return max(both / (len(a) + len(b) - both), len(i) / (len(x) + len(y) - len(i)))
 
 
+def packed(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to a long."""
+    n, k = signature.shape
+    nibbles = np.zeros((n, -(-k // 16) * 16), U64)
+    nibbles[:, :k] = signature & U64(15)
+    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=U64) * U64(4)), axis=2).view(np.int64)
+
+
+def least_agreement(threshold: float, k: int, deviations: float = 4.5) -> int:
+    """Agreeing nibbles that a pair at the threshold has, but for a chance of 3 in a million."""
+    p = threshold + (1 - threshold) / 16
+    return int(np.floor(k * p - deviations * np.sqrt(k * p * (1 - p))))
+
+
+def sketches_differ(a: Column, b: Column, longs: int) -> Column:
+    """Number of nibbles in which two packed sketches differ."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), text.alias("text"))
 
 
 def signed(source: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """doc_id, key of the text, band hashes."""
+    """doc_id, key of the text, band hashes, packed sketch."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = text_bands(batch.column(2).to_pylist(), hashes, bands, rows, size)
-            offsets = pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["doc_id", "key", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in text_bands(batch.column(2).to_pylist(), hashes, bands, rows, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "key", "bands", "sketch"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>, sketch array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -261,35 +288,32 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, key) of all rows, and (key, winner) of all texts: winner is the least (doc_id, key) of the class."""
     source = keyed(docs, id_col, text_col)
     signs = cut(signed(source, bands, rows, size), "signs")
-    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     spread = nodes.select("key", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
+    crowded = spread.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").drop("high")
     members = cut(spread.join(crowded, "bucket"), "members")
 
-    # the texts of all nodes that share a bucket, fetched once through a row that has each of them
-    wanted = members.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
-    have = source.join(wanted.select(F.col("key").alias("want"), F.col("doc_id").alias("at")), F.col("doc_id").eqNullSafe(F.col("at")))
-    texts = cut(have.where("key = want").select("key", "text").dropDuplicates(["key"]), "texts")
+    # the nodes that share a bucket, and their texts, fetched once through a row that has each of them
+    crowd = cut(nodes.join(members.select("key").distinct(), "key"), "crowd")
+    wanted = crowd.select(F.col("key").alias("want"), F.col("doc_id").alias("at"))
+    have = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).where("key = want")
+    texts = cut(have.select("key", "text").dropDuplicates(["key"]), "texts")
 
     pairs = members.where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     edges = cut(verified(pairs, texts, threshold, size), "edges")
     labels = components(edges, "first")
 
-    # members whose bucket spans classes: first against the bucket's highest key, then each with each
-    for last in (False, True):
-        of = members.join(labels, "key", "left").select("bucket", "key", "high", F.coalesce("label", "key").alias("label"))
-        split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("bucket")
-        apart = cut(of.join(split, "bucket", "left_semi"), "apart")
-        if last:
-            other = apart.select("bucket", F.col("key").alias("b"), F.col("label").alias("label_b"))
-            more = apart.join(other, (apart["bucket"] == other["bucket"]) & (apart["label"] < other["label_b"])).select(F.col("key").alias("a"), "b").distinct()
-        else:
-            centre = labels.select(F.col("key").alias("high"), F.col("label").alias("label_high"))
-            more = apart.join(centre, "high", "left").where("label != coalesce(label_high, high)").select(F.col("key").alias("a"), F.col("high").alias("b")).distinct()
-        more = cut(verified(more, texts, threshold, size), "edges")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges, "next")
+    # members of buckets that span classes meet each other
+    of = members.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("bucket")
+    apart = cut(of.join(split, "bucket", "left_semi").join(crowd.select("key", "bands", "sketch"), "key"), "apart")
+    one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), -(-bands * rows // 16)) <= bands * rows - least_agreement(threshold, bands * rows)
+    first = F.expr("bucket_a = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
+    met = one.join(two, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("label_a") < F.col("label_b")) & alike & first).select("a", "b")
+    more = cut(verified(met, texts, threshold, size), "edges")
+    if not more.isEmpty():
+        labels = components(edges.union(more), "next")
 
     of = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", F.struct("doc_id", "key").alias("row"), F.coalesce("label", "key").alias("label"))
     winner = of.groupBy("label").agg(F.min_by("row", F.struct(F.col("row.doc_id").isNull(), F.col("row"))).alias("winner"))
