@@ -27,11 +27,11 @@ from pyspark.sql.window import Window
 SLOTS = 1 << 22
 #: A lexicon term stands in one document out of 10 at most, and in one of 2000 at least.
 OFTEN, SELDOM = 1 / 10, 1 / 2000
-#: (bit of the term's hash from which the tier reads, bits it reads, subsets it has)
-TIERS = ((22, 2, 4), (24, 2, 4), (26, 5, 8), (31, 8, 16), (39, 11, 32))
+#: (bit of the term's hash from which the tier reads, bits it reads, subsets it has: a power of two)
+TIERS = ((24, 2, 4), (26, 5, 8), (31, 8, 16), (39, 11, 32))
 SEPARATOR = r"[\s\p{Punct}]+"
 #: Rows that stand together while each meets its successor, and the most such groups.
-GROUP_ROWS, MOST_GROUPS = 8192, 10_000
+GROUP_ROWS, MOST_GROUPS = 1024, 10_000
 
 
 def terms_of(text: Column) -> Column:
@@ -60,33 +60,31 @@ def bitmap_column(bitmap: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
 
 
-def in_blocks(hashes: str, low: int, bits: int, first: int, end: int) -> Column:
-    """Of an array of hashes, those whose block (`bits` bits from bit `low` on) is in first..end-1."""
-
-    def inside(h: Column) -> Column:
-        block = F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1)
-        return (block >= first) & (block < end)
-
-    return F.filter(hashes, inside)
+def masked(hashes: str, mask: int, value: int) -> Column:
+    """Of an array of hashes, those that have `value` in the bits of `mask`."""
+    return F.filter(hashes, lambda h: h.bitwiseAND(F.lit(mask)) == F.lit(value))
 
 
 def add_fingerprint(df: DataFrame, text: str, out: str, bitmap: Column) -> DataFrame:
     """Adds `out`_all (bigint) and `out`_parts (array of bigint, null for empty subsets) from the column `text`."""
 
-    def inside(term: Column) -> Column:
-        slot = slot_of(term)
+    terms, slots, kept, hashes = f"{out}_terms", f"{out}_slots", f"{out}_kept", f"{out}_hashes"
+
+    def inside(_: Column, i: Column) -> Column:
+        slot = F.get(slots, i)
         return F.getbit(F.get(bitmap, F.shiftright(slot, 6)), slot % 64) == 1
 
-    terms, kept, hashes = f"{out}_terms", f"{out}_kept", f"{out}_hashes"
-    df = df.withColumn(terms, F.filter(terms_of(F.col(text)), lambda t: t != ""))
+    df = df.withColumn(terms, F.array_remove(terms_of(F.col(text)), ""))
+    df = df.withColumn(slots, F.transform(terms, slot_of))
     df = df.withColumn(kept, F.filter(terms, inside))
     df = df.withColumn(kept, F.sort_array(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(terms))))
-    df = df.withColumn(hashes, F.transform(kept, lambda t: F.xxhash64(t))).drop(terms, kept)
+    df = df.withColumn(hashes, F.transform(kept, lambda t: F.xxhash64(t))).drop(terms, slots, kept)
     tiers, parts = [], []
     for i, (low, bits, subsets) in enumerate(TIERS):
-        tiers.append(in_blocks(hashes, low, bits, 0, subsets).alias(f"{out}_tier{i}"))
+        every, used = (1 << bits) - 1, subsets - 1
+        tiers.append(masked(hashes, (every ^ used) << low, 0).alias(f"{out}_tier{i}"))
         for k in range(subsets):
-            mine = in_blocks(f"{out}_tier{i}", low, bits, k, k + 1)
+            mine = masked(f"{out}_tier{i}", used << low, k << low)
             parts.append(F.when(F.size(mine) > 0, F.xxhash64(mine)))
     df = df.select("*", F.xxhash64(hashes).alias(f"{out}_all"), *tiers).drop(hashes)
     return df.withColumn(f"{out}_parts", F.array(*parts)).drop(*(f"{out}_tier{i}" for i in range(len(TIERS))))

@@ -68,7 +68,47 @@ def op7_knn_toxicity(spark, sf_dir):
     return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), F.col("toxic_score").alias("score"), F.expr("cast(toxic_score >= 0.5 as int)").alias("predicted"), "toxic_neighbours", "toxic_nearest")
 
 
-OPERATORS = (op1_imatch_fingerprints, op2_trie_token_counts, op3_harmonic_packing, op4_matroska, op5_dart_minhash, op6_hmm_language_model, op7_knn_toxicity)
+def op9_bootstrapped_pii(spark, sf_dir):
+    from tideglass.llm.pii import KINDS, find_pii, joined_spans
+
+    found = find_pii(common.table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["rank"] < len(KINDS)))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(F.encode(joined_spans(F.col("base")), "UTF-8"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
+def language_and_quality(spark, sf_dir):
+    """Documents' labels with the domain `lang:quality`."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return docs, labels.where("quality is not null").join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", F.concat_ws(":", "lang", F.col("quality").cast("string")).alias("domain"))
+
+
+def even_languages(natural):
+    """Languages share alike; of each, nine tokens in ten are of quality 1."""
+    languages = {d.partition(":")[0] for d in natural}
+    return {d: (0.9 if d.endswith(":1") else 0.1) / len(languages) for d in natural}
+
+
+def op8_soft_membership_mixing(spark, sf_dir):
+    from tideglass.llm.mixing import mixture, with_rates
+
+    docs, labels = language_and_quality(spark, sf_dir)
+    classifier, steps = mixture(docs, labels, F.col("domain"), even_languages)
+    rows = with_rates(docs, classifier, steps, "doc_id", "text")
+    best = F.array_max("__p")
+    names = F.array(*(F.lit(d) for d in classifier.domains)) if classifier else F.array(F.lit(None).cast("string"))
+    return rows.select("doc_id", "source", F.col("__tokens").cast("bigint").alias("n_tokens"), F.element_at(names, F.greatest(F.array_position("__p", best), F.lit(1)).cast("int")).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").cast("bigint").alias("copies"))
+
+
+def op10_forest_secret_scan(spark, sf_dir):
+    from tideglass.llm.secret_scan import scan_secrets
+
+    return scan_secrets(common.table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_imatch_fingerprints, op2_trie_token_counts, op3_harmonic_packing, op4_matroska, op5_dart_minhash, op6_hmm_language_model, op7_knn_toxicity, op8_soft_membership_mixing, op9_bootstrapped_pii, op10_forest_secret_scan)
 
 
 def queries():
