@@ -11,9 +11,10 @@ with probability equal to their weighted Jaccard similarity (Christiani, DartMin
 
 Classes are the components of the graph of links: pairs of texts that share a band and whose exact
 similarity (weighted, or of the plain sets) reaches the threshold. No pairs are listed within a
-group: equal texts are one node, and each bucket links its members to one centre first. Only where
-that leaves a bucket's members in different classes do they meet each other, and a pair of them
-leaves the join once, at its first common band, and only if its packed sketches (four bits of each
+group: equal texts are one node, and each bucket first links its members to one centre, the member
+that shares most buckets with others and so stands in the middle of its group. Only where that
+leaves a bucket's members in different classes do they meet each other, and a pair of them leaves
+the join once, at its first common band, and only if its packed sketches (four bits of each
 coordinate) agree as a pair at the threshold would with all but 3 in a million chance.
 
 Defined results: null text counts as empty; all empty texts are one class; a text of under five
@@ -35,6 +36,8 @@ from tideglass.llm.common import cut
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+#: Coordinates of the signature; bands use the first BANDS * ROWS, sketches all.
+COORDINATES = 240
 THRESHOLD = 0.8
 FIRST_BAND = 1 / 64
 WORD = re.compile(r"\w+")
@@ -174,7 +177,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (texts, bands) and packed sketches of whole texts."""
     out = np.empty((len(texts), bands), np.int64)
-    sketches = np.empty((len(texts), -(-bands * rows // 16)), np.int64)
+    sketches = np.empty((len(texts), COORDINATES // 16), np.int64)
     cells: list[np.ndarray] = []
     start = held = 0
 
@@ -182,8 +185,8 @@ def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size
         nonlocal cells, start, held
         if until > start:
             owner = np.repeat(np.arange(until - start), [len(c) for c in cells])
-            signature = darts(np.concatenate(cells), None, owner, until - start, bands * rows)
-            out[start:until], sketches[start:until] = band_hashes(signature, bands, rows), packed(signature)
+            signature = darts(np.concatenate(cells), None, owner, until - start, COORDINATES)
+            out[start:until], sketches[start:until] = band_hashes(signature[:, : bands * rows], bands, rows), packed(signature)
         cells, start, held = [], until, 0
 
     for i, text in enumerate(texts):
@@ -209,7 +212,8 @@ def packed(signature: np.ndarray) -> np.ndarray:
     """Four bits of each coordinate, 16 coordinates to a long."""
     n, k = signature.shape
     nibbles = np.zeros((n, -(-k // 16) * 16), U64)
-    nibbles[:, :k] = signature & U64(15)
+    # a dart's coordinate fixes the low bits of its hash
+    nibbles[:, :k] = (signature >> U64(40)) & U64(15)
     return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=U64) * U64(4)), axis=2).view(np.int64)
 
 
@@ -290,8 +294,10 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signs = cut(signed(source, bands, rows, size), "signs")
     nodes = signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     spread = nodes.select("key", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").drop("high")
+    crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(spread.join(crowded, "bucket"), "members")
+    popular = members.groupBy("key").agg(F.struct(F.sum("n"), "key").alias("rank"))
+    centres = members.select("bucket", "key").join(popular, "key").groupBy("bucket").agg(F.max("rank")["key"].alias("centre"))
 
     # the nodes that share a bucket, and their texts, fetched once through a row that has each of them
     crowd = cut(nodes.join(members.select("key").distinct(), "key"), "crowd")
@@ -299,7 +305,7 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).where("key = want")
     texts = cut(have.select("key", "text").dropDuplicates(["key"]), "texts")
 
-    pairs = members.where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = members.join(centres, "bucket").where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
     edges = cut(verified(pairs, texts, threshold, size), "edges")
     labels = components(edges, "first")
 
@@ -308,7 +314,7 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("bucket")
     apart = cut(of.join(split, "bucket", "left_semi").join(crowd.select("key", "bands", "sketch"), "key"), "apart")
     one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), -(-bands * rows // 16)) <= bands * rows - least_agreement(threshold, bands * rows)
+    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), COORDINATES // 16) <= COORDINATES - least_agreement(threshold, COORDINATES)
     first = F.expr("bucket_a = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
     met = one.join(two, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("label_a") < F.col("label_b")) & alike & first).select("a", "b")
     more = cut(verified(met, texts, threshold, size), "edges")
