@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.spans import matches_where
 
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key)"
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}|(?<=(?:password|passwd|pwd|secret|token|api_key)[=:]\"{0,1})[^\s\"'&,;]{6,}+)"
+ASSIGNED = r"(?:password|passwd|pwd|secret|token|api_key)[=:]"
+#: The short look behind comes first, as it fails at almost every place.
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}|(?<=[=:\"])(?<=(?:password|passwd|pwd|secret|token|api_key)[=:]\"{0,1})[^\s\"'&,;]{6,}+)"
 AROUND = 48
 LEAST = 0.5
 MARK = "[SECRET]"
@@ -166,10 +167,15 @@ def forest_score(trees: list, values: list[Column]) -> Column:
     return total / max(1, len(trees))
 
 
+def may_have_candidates(text: str) -> Column:
+    """A cheap test that every text with a candidate passes."""
+    assigns = F.contains(F.col(text), F.lit("=")) | F.contains(F.col(text), F.lit(":"))
+    return F.rlike(text, F.lit("[0-9]")) | (assigns & F.rlike(text, F.lit(ASSIGNED)))
+
+
 def add_findings(df: DataFrame, text: str, trees: list, out: str = "findings") -> DataFrame:
     """Adds array<struct<start,end,value,score>> of all candidates of the column `text`."""
-    asked = F.rlike(text, F.lit("[0-9]")) | F.rlike(text, F.lit(ASSIGNED))
-    df = df.withColumn("__hits", matches_where(asked, F.col(text), CANDIDATE, AROUND))
+    df = df.withColumn("__hits", matches_where(may_have_candidates(text), F.col(text), CANDIDATE, AROUND))
     df = df.withColumn("__features", F.transform("__hits", lambda m: F.array(*features(m["before"], m["value"], m["after"]))))
 
     def scored(m: Column, i: Column) -> Column:
@@ -183,7 +189,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     """doc_id, start, end (code points), value_sha256, score, is_secret of every candidate."""
     trees = train(findings if findings is not None else labelled_findings(docs.sparkSession))
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = add_findings(source, "text", trees).select("doc_id", F.explode("findings").alias("f"))
+    # explode_outer: the filter that explode brings would compute the findings a second time
+    rows = add_findings(source.where(may_have_candidates("text")), "text", trees).select("doc_id", F.explode_outer("findings").alias("f")).where("f is not null")
     return rows.select("doc_id", F.col("f.start").cast("bigint").alias("start"), F.col("f.end").cast("bigint").alias("end"), F.sha2(F.encode("f.value", "UTF-8"), 256).alias("value_sha256"), F.round("f.score", 6).alias("score"), (F.col("f.score") >= least).alias("is_secret"))
 
 
