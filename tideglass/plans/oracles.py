@@ -83,7 +83,7 @@ def student_sql(r: str) -> str:
     c, s = f"cos({theta})", f"sin({theta})"
     even = f"({s} * list_sum(list_transform(range(0, greatest(({v} - 2) // 2 + 1, 1)), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0 * j - 1) / (2.0 * j) * {c} * {c})), 1.0))))"
     odd = f"(2 / pi() * ({theta} + {s} * {c} * list_sum(list_transform(range(0, greatest(({v} - 3) // 2 + 1, 1)), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0 * j / (2.0 * j + 1) * {c} * {c})), 1.0)))))"
-    return f"(1 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END)"
+    return f"CASE WHEN n >= 3 THEN 1 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END END"
 
 
 def raw_ok(i: str) -> str:
