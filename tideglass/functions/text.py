@@ -36,7 +36,7 @@ def tidy(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """NFKC, then tidy; null is empty. Callers route ASCII texts past the UDF where rows are many (operators.clean)."""
+    """NFKC, then tidy; null is empty. `operators.clean.normalised` spares Python the ASCII texts."""
     return tidy(nfkc(F.coalesce(text, F.lit(""))))
 
 

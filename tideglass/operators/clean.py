@@ -55,10 +55,11 @@ def timestamp(text: Column) -> Column:
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
-    """Normalises a text column; ASCII texts, which NFKC leaves as they are, do not visit Python."""
-    plain = ~F.rlike(F.coalesce(column, F.lit("")), F.lit(r"[^\x{0}-\x{7f}]"))
-    ascii_rows = df.where(plain).withColumn(column, tidy(F.coalesce(column, F.lit(""))))
-    return ascii_rows.unionByName(df.where(~plain).withColumn(column, tidy(nfkc(F.col(column)))))
+    """Normalises a text column in one pass. Python gets the texts that are not ASCII; for the others, which
+    NFKC leaves as they are, it gets a null."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    folded = nfkc(F.when(F.rlike(text, F.lit(r"[^\x{0}-\x{7f}]")), text))
+    return df.withColumn(column, tidy(F.coalesce(folded, text)))
 
 
 def decode(lines: DataFrame) -> DataFrame:

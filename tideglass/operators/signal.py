@@ -16,32 +16,10 @@ def bucket_of(ts: Column, minutes: int) -> Column:
 
 
 def bucket_signal(features: DataFrame, minutes: int = 15, min_posts: int = 5, min_scoreable: int = 3, ts: str = "created_at") -> DataFrame:
-    """One row per bucket that has posts; statistics are null where it is sparse."""
-    rows = add_weight(features).withColumn("bucket_start", bucket_of(F.col(ts), minutes))
-    scored = F.col("evidence") > 0
-    p, w = F.col("polarity"), F.col("weight")
-    sums = rows.groupBy("bucket_start").agg(
-        F.count(F.lit(1)).alias("n_tweets"),
-        F.count_if(scored).alias("n_scoreable"),
-        F.sum(F.when(scored, p * w)).alias("pw"),
-        F.sum(F.when(scored, w)).alias("w"),
-        F.count_if(scored & (p > 0)).alias("n_bull"),
-        F.count_if(scored & (p != 0)).alias("n_dir"),
-        F.avg("engagement").alias("mean_engagement"),
-    )
-    sparse = (F.col("n_tweets") < min_posts) | (F.col("n_scoreable") < min_scoreable)
-    interval = wilson(F.col("n_bull"), F.col("n_dir"))
+    """One row per bucket that has posts; statistics are null where it is sparse.
 
-    def live(x: Column) -> Column:
-        return F.when(~sparse, x)
-
-    return sums.select(
-        "bucket_start", "n_tweets", "n_scoreable",
-        live(F.coalesce(F.try_divide(F.col("pw"), F.col("w")), F.lit(0.0))).alias("signal"),
-        live(F.try_divide(F.col("n_bull").cast("double"), F.col("n_dir").cast("double"))).alias("bull_share"),
-        live(interval["low"]).alias("bull_ci_low"), live(interval["high"]).alias("bull_ci_high"),
-        "mean_engagement", sparse.alias("sparse"),
-    )
+    Features are read once: buckets keep the sums out of which the global maxima can be applied later."""
+    return signals_of_sums(mergeable_sums(features, minutes, ts), min_posts, min_scoreable)
 
 
 def md5_draw(*parts: Column) -> Column:
@@ -97,26 +75,47 @@ def excludes_zero(low: str = "ci_low", high: str = "ci_high") -> Column:
     return (F.col(low) > 0) | (F.col(high) < 0)
 
 
-def mergeable_sums(features: DataFrame, minutes: int = 15) -> DataFrame:
-    """Per bucket the eight sums, and the running maxima, from which the signal under any later global
-    maximum follows: both tilts multiplied out."""
+def mergeable_sums(features: DataFrame, minutes: int = 15, ts: str = "created_at") -> DataFrame:
+    """Per bucket the counts, the eight sums and the running maxima, from which the signal under any later
+    global maximum follows: both tilts multiplied out. Sums of two tables add up."""
     scored = F.col("evidence") > 0
     c, e, a, p = (F.col(x) for x in ("confidence", "engagement", "authority", "polarity"))
     terms = {"c": c, "ce": c * e, "ca": c * a, "cea": c * e * a}
     sums = [F.sum(F.when(scored, t)).alias(f"s_{k}") for k, t in terms.items()] + [F.sum(F.when(scored, p * t)).alias(f"s_p{k}") for k, t in terms.items()]
-    return features.withColumn("bucket_start", bucket_of(F.col("created_at"), minutes)).groupBy("bucket_start").agg(*sums, F.max("engagement").alias("max_e"), F.max("authority").alias("max_a"), F.count(F.lit(1)).alias("n_tweets"), F.count_if(scored).alias("n_scoreable"))
+    return features.groupBy(bucket_of(F.col(ts), minutes).alias("bucket_start")).agg(
+        F.count(F.lit(1)).alias("n_tweets"), F.count_if(scored).alias("n_scoreable"),
+        F.count_if(scored & (p > 0)).alias("n_bull"), F.count_if(scored & (p != 0)).alias("n_dir"),
+        F.sum(e).alias("s_engagement"), F.max(e).alias("max_e"), F.max(a).alias("max_a"), *sums,
+    )
+
 
+def weighted_mean_of_sums(sums: DataFrame) -> DataFrame:
+    """Adds signal: the weighted mean polarity under the maxima of all rows; 0 where no weight is."""
+    top = sums.agg(F.max("max_e").alias("__e"), F.max("max_a").alias("__a"))
 
-def signal_of_sums(sums: DataFrame) -> DataFrame:
-    """(bucket_start, signal) from mergeable sums, under the maxima of all of them."""
-    top = sums.agg(F.max("max_e").alias("e"), F.max("max_a").alias("a"))
-    one = lambda x: F.when(F.col(x) > 0, 1 / F.col(x)).otherwise(0.0)
-    joined = sums.join(F.broadcast(top))
+    def one(x: str) -> Column:
+        return F.when(F.col(x) > 0, 1 / F.col(x)).otherwise(0.0)
 
     def total(p: str) -> Column:
-        return F.col(f"s_{p}c") + F.col(f"s_{p}ce") * one("e") + F.col(f"s_{p}ca") * one("a") + F.col(f"s_{p}cea") * one("e") * one("a")
+        return F.col(f"s_{p}c") + F.col(f"s_{p}ce") * one("__e") + F.col(f"s_{p}ca") * one("__a") + F.col(f"s_{p}cea") * one("__e") * one("__a")
 
-    return joined.select("bucket_start", F.coalesce(F.try_divide(total("p"), total("")), F.lit(0.0)).alias("signal"))
+    joined = sums.join(F.broadcast(top))  # one row
+    return joined.withColumn("signal", F.coalesce(F.try_divide(total("p"), total("")), F.lit(0.0))).drop("__e", "__a")
+
+
+def signals_of_sums(sums: DataFrame, min_posts: int = 5, min_scoreable: int = 3) -> DataFrame:
+    sparse = (F.col("n_tweets") < min_posts) | (F.col("n_scoreable") < min_scoreable)
+    interval = wilson(F.col("n_bull"), F.col("n_dir"))
+
+    def live(x: Column) -> Column:
+        return F.when(~sparse, x)
+
+    return weighted_mean_of_sums(sums).select(
+        "bucket_start", "n_tweets", "n_scoreable", live(F.col("signal")).alias("signal"),
+        live(F.try_divide(F.col("n_bull").cast("double"), F.col("n_dir").cast("double"))).alias("bull_share"),
+        live(interval["low"]).alias("bull_ci_low"), live(interval["high"]).alias("bull_ci_high"),
+        (F.col("s_engagement") / F.col("n_tweets")).alias("mean_engagement"), sparse.alias("sparse"),
+    )
 
 
 def class_counts(features: DataFrame) -> DataFrame:

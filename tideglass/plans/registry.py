@@ -145,7 +145,7 @@ def distinct_authors(spark, d):
 
 @query
 def mergeable_signal(spark, d):
-    s = sg.signal_of_sums(sg.mergeable_sums(scored(spark, d), 60))
+    s = sg.weighted_mean_of_sums(sg.mergeable_sums(scored(spark, d), 60))
     return s.select(stamp("bucket_start").alias("bucket_start"), r6("signal").alias("signal"))
 
 
