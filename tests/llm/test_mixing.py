@@ -26,8 +26,9 @@ def halves(natural):
 def test_targets_are_met(spark):
     rows, labels = corpus()
     docs, marks = odd.documents(spark, rows), odd.labels(spark, labels)
-    classifier, steps = mixing.mixture(docs, marks, F.col("quality"), halves)
-    out = mixing.with_rates(docs, classifier, steps, "doc_id", "text").select("doc_id", "__tokens", "__rate", "__copies", "__p").collect()
+    rates, domains = mixing.document_rates(docs, marks, F.col("quality"), halves)
+    out = rates.collect()
+    assert domains == ["0", "1"]
     totals = [sum(r["__tokens"] * r["__rate"] * r["__p"][d] for r in out) for d in (0, 1)]
     tokens = sum(r["__tokens"] for r in out)
     assert totals == pytest.approx([tokens / 2] * 2, rel=1e-3)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import cut
 
 LABELLED, BINS, STEPS, CLOSE = 20_000, 12, 25, 1e-4
-FEATURES = ("length", "word", "distinct", "symbols", "digits", "upper", "lines", "umlauts", "accents", "tildes", "the", "der", "de", "que")
+FEATURES = ("length", "word", "symbols", "digits", "upper", "umlauts", "accents", "tildes", "the", "der", "de", "que")
 
 
 def add_features(df: DataFrame, text: str) -> DataFrame:
@@ -41,11 +41,10 @@ def add_features(df: DataFrame, text: str) -> DataFrame:
     def word(w: str) -> Column:
         return (F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / n
 
-    df = df.withColumn("__words", F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    df = df.select("*", F.size("__words").alias("__tokens"), F.size(F.array_distinct("__words")).alias("__kinds"))
+    df = df.withColumn("__tokens", F.size(F.array_remove(F.split(t, r"\s+"), "")))
     count = F.greatest("__tokens", F.lit(1)).cast("double")
-    x = [F.log1p(count), n / count, F.col("__kinds") / count, lost(r"[#$%&*|~^<>=!@_{}\[\]\\]"), lost("[0-9]"), lost("[A-Z]"), lost(r"\n"), lost("[äöüßÄÖÜ]"), lost("[éèêçàùëïÉÈÊ]"), lost("[ñóíáúÑÓÍ]"), word("the"), word("der"), word("de"), word("que")]
-    return df.withColumn("__x", F.array(*x)).drop("__words", "__kinds")
+    x = [F.log1p(count), n / count, lost(r"[#$%&*|~^<>=!@_{}\[\]\\]"), lost("[0-9]"), lost("[A-Z]"), lost("[äöüßÄÖÜ]"), lost("[éèêçàùëïÉÈÊ]"), lost("[ñóíáúÑÓÍ]"), word("the"), word("der"), word("de"), word("que")]
+    return df.withColumn("__x", F.array(*x))
 
 
 class Classifier:
@@ -151,35 +150,50 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS, close:
     return history, totals
 
 
-def mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text"):
-    """(classifier, steps): weights maps the natural token shares {domain: share} to target weights, which
-    are then scaled to sum to `total` times the corpus' tokens."""
+def with_chance(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds `__chance`, a number in [0, 1) that id and text fix."""
+    return docs.withColumn("__chance", F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30))
+
+
+def mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()):
+    """(classifier, steps, table): weights maps the natural token shares {domain: share} to target weights,
+    which are then scaled to sum to `total` times the corpus' tokens. The table, written to the shared
+    folder, has the columns of `keep` with `__tokens`, `__p` and `__chance` of every document."""
     classifier = fit_classifier(docs, labels, domain, id_col, text_col)
     if classifier is None:
-        return None, []
-    table = cut(add_posteriors(docs.select(text_col), classifier, text_col).select(F.col("__tokens").cast("double").alias("tokens"), F.col("__p").alias("p")).where("tokens > 0"), "mixing-table")
-    natural = natural_totals(table, len(classifier.domains))
+        return None, [], None
+    rows = add_posteriors(with_chance(docs.select(*{id_col: 0, text_col: 0, **dict.fromkeys(keep, 0)}), id_col, text_col), classifier, text_col)
+    table = cut(rows.select(*keep, "__tokens", "__p", "__chance"), "mixing-table")
+    sums = table.where("__tokens > 0").select(F.col("__tokens").cast("double").alias("tokens"), F.col("__p").alias("p"))
+    natural = natural_totals(sums, len(classifier.domains))
     everything = sum(natural)
     wanted = weights({d: v / max(everything, 1.0) for d, v in zip(classifier.domains, natural, strict=True)})
     wanted = [float(wanted.get(d, 0.0)) for d in classifier.domains]
     targets = [w / max(sum(wanted), 1e-12) * total * everything for w in wanted]
-    steps, _ = fit_rates(table, targets)
-    return classifier, steps
+    steps, _ = fit_rates(sums, targets)
+    return classifier, steps, table
 
 
-def with_rates(docs: DataFrame, classifier: Classifier | None, steps: list[list[float]], id_col: str, text_col: str) -> DataFrame:
-    """The columns of `docs` with `__tokens`, `__p`, `__rate` and `__copies`."""
-    if classifier is None:
-        return docs.select("*", F.lit(0).alias("__tokens"), F.array().cast("array<double>").alias("__p"), F.lit(1.0).alias("__rate"), F.lit(1).alias("__copies"))
-    df = add_posteriors(docs, classifier, text_col)
+def add_copies(df: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """Adds `__rate` and `__copies` from `__p` and `__chance`."""
     df = df.withColumn("__rate", rate(F.col("__p"), steps))
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("__rate")
-    return df.withColumn("__copies", (whole + F.when(chance < F.col("__rate") - whole, 1).otherwise(0)).cast("int"))
+    return df.withColumn("__copies", (whole + F.when(F.col("__chance") < F.col("__rate") - whole, 1).otherwise(0)).cast("int"))
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, list[str]]:
+    """(the columns of `keep` with `__tokens`, `__p`, `__rate`, `__copies`; the domains in the order of `__p`)."""
+    classifier, steps, table = mixture(docs, labels, domain, weights, total, id_col, text_col, keep)
+    if classifier is None:
+        words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+"), ""))
+        return docs.select(*keep, words.alias("__tokens"), F.array().cast("array<double>").alias("__p"), F.lit(1.0).alias("__rate"), F.lit(1).alias("__copies")), []
+    return add_copies(table, steps).drop("__chance"), classifier.domains
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, each as many times as its rate stands for."""
-    classifier, steps = mixture(docs, labels, domain, weights, total, id_col, text_col)
-    df = with_rates(docs, classifier, steps, id_col, text_col)
+    classifier, steps, _ = mixture(docs, labels, domain, weights, total, id_col, text_col)
+    if classifier is None:
+        return docs
+    df = add_copies(add_posteriors(with_chance(docs, id_col, text_col), classifier, text_col), steps)
     return df.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

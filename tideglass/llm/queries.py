@@ -92,14 +92,13 @@ def even_languages(natural):
 
 
 def op8_soft_membership_mixing(spark, sf_dir):
-    from tideglass.llm.mixing import mixture, with_rates
+    from tideglass.llm.mixing import document_rates
 
     docs, labels = language_and_quality(spark, sf_dir)
-    classifier, steps = mixture(docs, labels, F.col("domain"), even_languages)
-    rows = with_rates(docs, classifier, steps, "doc_id", "text")
+    rows, domains = document_rates(docs, labels, F.col("domain"), even_languages, keep=("doc_id", "source"))
+    names = F.array(*(F.lit(d) for d in domains)) if domains else F.array(F.lit(None).cast("string"))
     best = F.array_max("__p")
-    names = F.array(*(F.lit(d) for d in classifier.domains)) if classifier else F.array(F.lit(None).cast("string"))
-    return rows.select("doc_id", "source", F.col("__tokens").cast("bigint").alias("n_tokens"), F.element_at(names, F.greatest(F.array_position("__p", best), F.lit(1)).cast("int")).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").cast("bigint").alias("copies"))
+    return rows.select("doc_id", "source", F.col("__tokens").cast("bigint").alias("n_tokens"), F.get(names, F.greatest(F.array_position("__p", best), F.lit(1)).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").cast("bigint").alias("copies"))
 
 
 def op10_forest_secret_scan(spark, sf_dir):
