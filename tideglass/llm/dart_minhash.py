@@ -14,8 +14,8 @@ similarity (weighted, or of the plain sets) reaches the threshold. No pairs are
 group: equal texts are one node, and each bucket first links its members to one centre, the member
 that shares most buckets with others and so stands in the middle of its group. Only where that
 leaves a bucket's members in different classes do they meet each other, and a pair of them leaves
-the join once, at its first common band, and only if its packed sketches (four bits of each
-coordinate) agree as a pair at the threshold would with all but 3 in a million chance.
+the join once, at its first common band, and only if its packed sketches (four bits of each of SKETCH
+coordinates) agree as a pair at the threshold would with all but 3 in a million chance.
 
 Defined results: null text counts as empty; all empty texts are one class; a text of under five
 words is one element; a null id stays null and a class of null ids only has a null class id;
@@ -36,8 +36,8 @@ from tideglass.llm.common import cut
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-#: Coordinates of the signature; bands use the first BANDS * ROWS, sketches all.
-COORDINATES = 240
+#: Coordinates of a sketch, which only texts get whose buckets stay split.
+SKETCH = 960
 THRESHOLD = 0.8
 FIRST_BAND = 1 / 64
 WORD = re.compile(r"\w+")
@@ -174,30 +174,27 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return found.view(np.int64)
 
 
-def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (texts, bands) and packed sketches of whole texts."""
-    out = np.empty((len(texts), bands), np.int64)
-    sketches = np.empty((len(texts), COORDINATES // 16), np.int64)
+def text_signatures(texts: list[str], hashes: WordHashes, coordinates: int, size: int = SHINGLE):
+    """(first text, signatures) of whole texts, lot by lot."""
     cells: list[np.ndarray] = []
     start = held = 0
-
-    def flush(until: int) -> None:
-        nonlocal cells, start, held
-        if until > start:
-            owner = np.repeat(np.arange(until - start), [len(c) for c in cells])
-            signature = darts(np.concatenate(cells), None, owner, until - start, COORDINATES)
-            out[start:until], sketches[start:until] = band_hashes(signature[:, : bands * rows], bands, rows), packed(signature)
-        cells, start, held = [], until, 0
-
     for i, text in enumerate(texts):
         h = shingles(words_of(text), hashes, size)
         nth = nth_of_equal(h)
         cells.append(mix(h) if nth is None else mix(h + nth.astype(U64) * GOLD))
         held += len(h)
-        if held > CELLS:
-            flush(i + 1)
-    flush(len(texts))
-    return out, sketches
+        if held > CELLS or i + 1 == len(texts):
+            owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+            yield start, darts(np.concatenate(cells), None, owner, len(cells), coordinates)
+            cells, start, held = [], i + 1, 0
+
+
+def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> np.ndarray:
+    """Band hashes (texts, bands)."""
+    out = np.empty((len(texts), bands), np.int64)
+    for start, signature in text_signatures(texts, hashes, bands * rows, size):
+        out[start : start + len(signature)] = band_hashes(signature, bands, rows)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -234,21 +231,64 @@ def sketches_differ(a: Column, b: Column, longs: int) -> Column:
     return total
 
 
+def packed(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to a long."""
+    n, k = signature.shape
+    nibbles = np.zeros((n, -(-k // 16) * 16), U64)
+    # a dart's coordinate fixes the low bits of its hash
+    nibbles[:, :k] = (signature >> U64(40)) & U64(15)
+    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=U64) * U64(4)), axis=2).view(np.int64)
+
+
+def least_agreement(threshold: float, k: int, deviations: float = 4.5) -> int:
+    """Agreeing nibbles that a pair at the threshold has, but for a chance of 3 in a million."""
+    p = threshold + (1 - threshold) / 16
+    return int(np.floor(k * p - deviations * np.sqrt(k * p * (1 - p))))
+
+
+def sketches_differ(a: Column, b: Column, longs: int) -> Column:
+    """Number of nibbles in which two packed sketches differ."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), text.alias("text"))
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
 def signed(source: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """doc_id, key of the text, band hashes, packed sketch."""
+    """doc_id, key of the text, band hashes."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found = text_bands(batch.column(2).to_pylist(), hashes, bands, rows, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(found)], names=["doc_id", "key", "bands"])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
+
+
+def sketched(texts: DataFrame, coordinates: int, size: int) -> DataFrame:
+    """key, packed sketch of texts (key, text)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in text_bands(batch.column(2).to_pylist(), hashes, bands, rows, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "key", "bands", "sketch"])
+            parts = [packed(s) for _, s in text_signatures(batch.column(1).to_pylist(), hashes, coordinates, size)]
+            found = np.concatenate(parts) if parts else np.empty((0, -(-coordinates // 16)), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], names=["key", "sketch"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>, sketch array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key binary, sketch array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -292,7 +332,7 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, key) of all rows, and (key, winner) of all texts: winner is the least (doc_id, key) of the class."""
     source = keyed(docs, id_col, text_col)
     signs = cut(signed(source, bands, rows, size), "signs")
-    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = cut(signs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
     spread = nodes.select("key", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(spread.join(crowded, "bucket"), "members")
@@ -312,9 +352,11 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # members of buckets that span classes meet each other
     of = members.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("bucket")
-    apart = cut(of.join(split, "bucket", "left_semi").join(crowd.select("key", "bands", "sketch"), "key"), "apart")
+    apart = cut(of.join(split, "bucket", "left_semi"), "apart")
+    sketches = cut(sketched(texts.join(apart.select("key").distinct(), "key"), SKETCH, size), "sketches")
+    apart = apart.join(crowd.select("key", "bands").join(sketches, "key"), "key")
     one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), COORDINATES // 16) <= COORDINATES - least_agreement(threshold, COORDINATES)
+    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), SKETCH // 16) <= SKETCH - least_agreement(threshold, SKETCH)
     first = F.expr("bucket_a = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
     met = one.join(two, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("label_a") < F.col("label_b")) & alike & first).select("a", "b")
     more = cut(verified(met, texts, threshold, size), "edges")
