@@ -164,8 +164,8 @@ def raw_lines(spark, d):
         F.array(F.struct(F.lit("ann").alias("username"))).alias("mentionedUsers"),
         F.when(i % 10 == 1, F.struct(F.lit(1).alias("id"))).alias("retweetedTweet"), F.when(i % 8 == 0, i).alias("inReplyToTweetId"), (i % 7 == 0).alias("isQuoteStatus"),
     )
-    line = F.to_json(row, {"ignoreNullFields": "false"})
-    return p.select(i.alias("ingest_seq"), F.when(i % 37 == 0, F.left(line, F.length(line) - 5)).when(i % 53 == 0, "   ").otherwise(line).alias("value"))
+    lines = p.select(i.alias("i"), F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
+    return lines.select(F.col("i").alias("ingest_seq"), F.expr("CASE WHEN i % 37 = 0 THEN left(line, length(line) - 5) WHEN i % 53 = 0 THEN '   ' ELSE line END").alias("value"))
 
 
 @query

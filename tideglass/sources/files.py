@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
     before = blocks.withColumn("before", F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)))
     placed = lines.withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("mono")))
-    return placed.join(F.broadcast(before.drop("n")), ["file", "block"]).select("value", (F.coalesce("before", F.lit(0)) + F.col("place")).alias("ingest_seq"))
+    return placed.join(before.drop("n"), ["file", "block"]).select("value", (F.coalesce("before", F.lit(0)) + F.col("place")).alias("ingest_seq"))
 
 
 def read_store(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
