@@ -68,6 +68,13 @@ def test_asof_edges(spark):
     assert got == {0: 1.0, 1: 1.0, 2: None, 3: 2.0}
 
 
+def test_returns_over_a_zero_close(spark):
+    t = datetime(2026, 1, 5)
+    rows = [(t + timedelta(minutes=15 * i), c) for i, c in enumerate((1.0, 0.0, 2.0, 4.0))]
+    got = [r["fwd_ret"] for r in validate.forward_returns(spark.createDataFrame(rows, "bar_ts timestamp, close double"), 15).orderBy("bar_ts").collect()]
+    assert got[:2] == [None, None] and got[2] == pytest.approx(math.log(2)) and got[3] is None
+
+
 def test_constant_side_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, float(i)) for i in range(6)], "x double, y double")
     r = validate.correlation(df, "x", "y").first()

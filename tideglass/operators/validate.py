@@ -14,7 +14,8 @@ ZONE = "Asia/Kolkata"
 
 
 def forward_returns(prices: DataFrame, horizon_minutes: int, bar_minutes: int = 15, by: tuple[str, ...] = (), same_session: bool = False) -> DataFrame:
-    """Adds fwd_ret: log return to the close `horizon` bars ahead, by row; null for the last ones.
+    """Adds fwd_ret: log return to the close `horizon` bars ahead, by row; null for the last ones and
+    where either close is 0.
 
     `by` names the instrument columns, which are the unit of parallelism. same_session: no return across dates."""
     steps = max(1, horizon_minutes // bar_minutes)
@@ -22,7 +23,7 @@ def forward_returns(prices: DataFrame, horizon_minutes: int, bar_minutes: int =
     ahead = F.lead("close", steps).over(w)
     if same_session:
         ahead = F.when(F.lead(F.to_date("bar_ts"), steps).over(w) == F.to_date("bar_ts"), ahead)
-    return prices.withColumn("fwd_ret", F.ln(ahead / F.col("close")))
+    return prices.withColumn("fwd_ret", F.ln(F.try_divide(ahead, F.col("close"))))
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, values: list[str], tolerance_seconds: int, by: tuple[str, ...] = (), chunk_seconds: int = 86_400) -> DataFrame:

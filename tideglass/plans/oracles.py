@@ -71,7 +71,7 @@ SIGNAL_COLUMNS = f"{stamp('bucket_start')} AS bucket_start, n_tweets, n_scoreabl
 PRICES = prices_sql()
 ALIGNED = f"""{signals_sql(60)},
 {PRICES},
-returns AS (SELECT bar_ts, ln(lead(close, 2) OVER (ORDER BY bar_ts) / close) AS fwd_ret FROM prices),
+returns AS (SELECT bar_ts, ln(nullif(lead(close, 2) OVER (ORDER BY bar_ts), 0) / nullif(close, 0)) AS fwd_ret FROM prices),
 aligned AS (SELECT s.bucket_start, s.signal AS x, r.fwd_ret AS y FROM (SELECT * FROM signals WHERE NOT sparse) s ASOF JOIN (SELECT * FROM returns WHERE fwd_ret IS NOT NULL) r ON s.bucket_start >= r.bar_ts WHERE s.bucket_start - r.bar_ts <= INTERVAL '60 minutes'),
 ranks AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM aligned),
 rs AS (SELECT count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS s, count(*) FILTER (sign(x) = sign(y)) AS hits FROM ranks)"""
@@ -189,7 +189,7 @@ SELECT b, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.
 each AS (SELECT id, len(s) AS n, unnest(s) AS x FROM shingles), common AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
 SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM common WHERE c::DOUBLE / (na + nb - c) >= 0.5""",
         "minhash_signature": signature_sql(),
-        "forward_returns": f"{with_(PRICES)} SELECT {stamp('bar_ts')} AS bar_ts, round(close, 6) AS close, round(ln(lead(close, 2) OVER (ORDER BY bar_ts) / close), 6) AS fwd_ret FROM prices",
+        "forward_returns": f"{with_(PRICES)} SELECT {stamp('bar_ts')} AS bar_ts, round(close, 6) AS close, round(ln(nullif(lead(close, 2) OVER (ORDER BY bar_ts), 0) / nullif(close, 0)), 6) AS fwd_ret FROM prices",
         "asof_join": f"{with_(PRICES)} SELECT e.event_id, round(CASE WHEN e.ts - p.bar_ts <= INTERVAL '900 seconds' THEN p.close END, 6) AS close FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN prices p ON e.ts >= p.bar_ts",
         "correlation": f"{with_(ALIGNED)} SELECT n, round(r, 6) AS pearson_r, round({student_sql('r')}, 6) AS pearson_p, round(s, 6) AS spearman_r, round({student_sql('s')}, 6) AS spearman_p FROM rs",
         "hit_rate": f"{with_(ALIGNED)} SELECT n, hits, round(hits::DOUBLE / n, 6) AS hit_rate, round({hit_low}, 6) AS hit_low, round({hit_high}, 6) AS hit_high FROM rs",
