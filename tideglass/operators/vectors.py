@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideglass.functions.text import strip_links
+from tideglass.functions.text import let, strip_links
 
 EXTRA_STOPS = ("https", "http", "co", "amp", "rt")
 
@@ -33,7 +33,7 @@ def word_terms(text: Column, stops: list[str] | None = None) -> Column:
     if stops:
         known = F.array(*(F.lit(s) for s in stops))
         tokens = F.filter(tokens, lambda t: ~F.array_contains(known, t))
-    return with_bigrams(tokens)
+    return let(tokens, with_bigrams)
 
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
