@@ -1,13 +1,14 @@
 """Secret scans with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of 12 and more key characters with a digit among them, and values that are
-assigned to a secret's name. Each has features of its length, of the transitions between its
+Candidates are runs of 12 and more key characters with a digit among them or a known prefix, and
+values of 6 and more characters that are assigned to a secret's name, in any case, with blanks and
+quotes between both, or that stand behind "Bearer" and are no plain word. Each has features of its length, of the transitions between its
 characters, of how much of it a dictionary covers, of the path it stands in and of its neighbouring
 words. A random forest, trained on labelled findings, gives the probability that it is a secret.
 
 Labelled findings are a table (before, value, after, secret); `labelled_findings` makes one by rule
-where none is given: keys, tokens and passwords against digests, identifiers, numbers, paths and
-placeholders in like surroundings. The fitted trees become one SQL expression, so scanning and
+where none is given: keys, tokens and passwords against digests, identifiers, numbers, paths,
+placeholders and plain words in like surroundings. The fitted trees become one SQL expression, so scanning and
 redacting are a single pass over the texts without a shuffle.
 
 Defined results: null text counts as empty and has no findings, `redact` leaves it null; ids may be
@@ -22,16 +23,25 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.spans import matches_where
 
-ASSIGNED = r"(?:password|passwd|pwd|secret|token|api_key)[=:]"
-#: The short look behind comes first, as it fails at almost every place.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}|(?<=[=:\"])(?<=(?:password|passwd|pwd|secret|token|api_key)[=:]\"{0,1})[^\s\"'&,;]{6,}+)"
+NAMES = r"(?:password|passwd|pwd|secret[_-]?key|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|private|credential|auth|bearer)"
+PREFIXES = r"(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|glpat-|eyJ)"
+KEY = "[A-Za-z0-9_+/-]"
+#: Between a name and its value; blanks have a bound, as Java looks behind over bounded lengths only.
+GIVES = r"[^\s=:]{0,3}\s{0,16}[=:]{1,2}>?"
+ASSIGNED = rf"(?i){NAMES}(?:{GIVES}|\s)"
+#: The values behind a name: up to the closing quote, or up to what ends a word, a sentence or a URL's parameter.
+QUOTED = r"(?:(?<=\")[^\s\"]{6,}+(?=\")|(?<=')[^\s']{6,}+(?='))"
+BARE = r"(?:(?![.)\]}>]++(?:[\s\"',;]|$))[^\s\"'&,;]|&(?![A-Za-z0-9_.%-]*+=)(?!\s|$)){6,}+"
+#: The short look behind comes first, as it fails at most places.
+BEHIND_NAME = rf"(?<=[=:>\s\"'])(?:(?<=[=:]>?\s{{0,16}}[\"']?)(?<=(?i:{NAMES}){GIVES}\s{{0,16}}[\"']?)|(?<=(?i:bearer)\s{{1,16}}[\"']?)(?=\S*?(?:[0-9_/+=-]|[a-z][A-Z])))"
+CANDIDATE = rf"(?:{BEHIND_NAME}(?:{QUOTED}|{BARE})|(?<!{KEY})(?:(?=[A-Za-z_+/-]*+[0-9])|(?={PREFIXES})){KEY}{{12,}}+={{0,2}})"
 AROUND = 48
 LEAST = 0.5
 MARK = "[SECRET]"
 TREES, DEPTH, FINDINGS = 20, 6, 6000
 
 # Words that stand beside secrets, and beside things that look like them.
-SECRET_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer)"
+SECRET_WORDS = rf"(?i){NAMES}"
 OTHER_WORDS = r"(?i)(?:commit|sha\d*|md5|digest|checksum|uuid|guid|isbn|version|release|hash|revision|build|card|phone|order|invoice)"
 # Common words by which a value's letters are covered.
 DICTIONARY = (
@@ -86,7 +96,7 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         F.rlike(near, F.lit(SECRET_WORDS + r"\S{0,3}\s*[=:]?\s*[\"']?$")).cast("double"),
         F.rlike(near, F.lit(OTHER_WORDS)).cast("double"),
         F.rlike(before, F.lit(r"[=:]\s*[\"']?$")).cast("double"),
-        F.rlike(value, F.lit("^(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|glpat-|eyJ)")).cast("double"),
+        F.rlike(value, F.lit(f"^{PREFIXES}")).cast("double"),
         F.rlike(lower, F.lit(r"(?:example|sample|placeholder|changeme|xxxx|0000|1234|test)")).cast("double"),
         F.rlike(after, F.lit(r"^(?:\.[A-Za-z]{2,4}\b|/|@)")).cast("double"),
     ]
@@ -109,6 +119,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
 
     words = pick("configManager", "release_notes", "imageServer", "template-index", "userProfile", "document_list", "networkSession", "dataTable")
     prose = pick("and the ", "of in to. ", "see also, ", "mit und der ", "les que de ", "con la para ", "")
+    letters = F.regexp_replace(plain, "[0-9]", "")
+    assigned = pick("password: ", "secret = ", "PASSWORD=", "pwd='", "token: ", "private: ", 'access_key="')
+    said = pick("required", "nobody", "please", "members", "something", "loaded", "string", "optional", "another", "Johannes", "forgotten", "niemand", "personne", "siempre", "usuario", "Anmeldung", "between", "function")
     cases = [
         # (before, value, secret)
         (prose, F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), 1),
@@ -128,6 +141,10 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(prose, pick("password=", "token=", "secret: ")), F.concat(pick("example_", "placeholder", "changeme_", "sampleValue"), F.substring(numbers, 1, 4)), 0),
         (prose, F.concat(F.substring(numbers, 1, 4), F.lit("-"), F.substring(numbers, 5, 2), F.lit("-"), F.substring(numbers, 7, 2), F.lit("-"), words), 0),
         (prose, F.concat(F.substring(F.regexp_replace(h, "[0-9]", "a"), 1, 8), F.lit("er"), F.substring(numbers, 1, 4)), 0),
+        (F.concat(prose, assigned), F.concat(F.substring(letters, 1, 7), pick("!", "#x", "", "$", "%K")), 1),
+        (F.concat(prose, assigned), F.concat(pick("hunter", "Dragon", "summer", "monkey", "Shadow", "football", "letmein", "Winter"), F.substring(numbers, 1, 2)), 1),
+        (F.concat(prose, assigned), said, 0),
+        (F.concat(prose, pick("Bearer ", "credentials = ", "bearer ", "auth: ", "secret: ")), F.initcap(said), 0),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(cases))).cast("int")
     made = F.element_at(F.array(*(F.struct(b.alias("before") if isinstance(b, Column) else F.lit(b).alias("before"), v.alias("value"), F.lit(y).alias("secret")) for b, v, y in cases)), kind + 1)
@@ -169,8 +186,7 @@ def forest_score(trees: list, values: list[Column]) -> Column:
 
 def may_have_candidates(text: str) -> Column:
     """A cheap test that every text with a candidate passes."""
-    assigns = F.contains(F.col(text), F.lit("=")) | F.contains(F.col(text), F.lit(":"))
-    return F.rlike(text, F.lit("[0-9]")) | (assigns & F.rlike(text, F.lit(ASSIGNED)))
+    return F.rlike(text, F.lit("[0-9]")) | F.rlike(text, F.lit(PREFIXES)) | F.rlike(text, F.lit(ASSIGNED))
 
 
 def add_findings(df: DataFrame, text: str, trees: list, out: str = "findings") -> DataFrame:
