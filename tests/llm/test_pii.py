@@ -94,3 +94,12 @@ def test_odd_rows(spark):
     rows = pii.find_pii(odd.odd_documents(spark)).collect()
     assert len(rows) == len(odd.texts()) and all(r["spans"] == [] for r in rows)
     assert pii.find_pii(odd.empty_documents(spark)).count() == 0
+
+
+def test_many_patterns_hide_no_other(spark):
+    """4,200 patterns of four seeds do not keep one of three seeds from its identifier."""
+    name = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(100 * j + part, " ".join(f"{name(i)} u{i}x{j}@mail.org" for i in range(100 * part, 100 * part + 100)) + f" {name(100 * part + 100)}") for j in range(4) for part in range(21)]
+    rows += [(1000 + i, f"kontakt: user{i}@mail.org danke") for i in range(3)] + [(2000, "kontakt: member-7000 danke")]
+    docs = odd.documents(spark, rows)
+    assert [r["value"] for r in pii.bootstrap(docs, pii.scan(docs, "doc_id", "text")).collect()] == ["member-7000"]

@@ -9,8 +9,9 @@ tokens with a digit. Patterns and instances form a graph, and scores go round it
 * an instance's score is one minus the product of (1 - score) over its patterns; seeds stay at one.
 
 Instances of at least LEAST score through patterns that LEAST_SEEDS different seeds support become
-spans of kind `id`, in every text where they stand. Patterns are PATTERNS at most (those with most
-different seeds; the bound of what is broadcast); counts of occurrences cover the whole corpus.
+spans of kind `id`, in every text where they stand. All such patterns count, however many there are:
+their graph and their words meet the texts by joins on the word, of counts that each task has summed
+before. Counts of occurrences cover the whole corpus.
 
 Defined results: null or empty text has no spans; rows repeat and ids may be null, each row has its
 own result; a span of a base kind is never replaced, and no `id` span overlaps one; extra columns are
@@ -35,7 +36,8 @@ CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 AROUND = 64  # code points beside a span in which its neighbouring words are read
 LONGEST_WORD, LONGEST_VALUE, SHORTEST_VALUE = 40, 128, 4
 
-ROUNDS, SMOOTH, LEAST, LEAST_SEEDS, PATTERNS = 3, 5.0, 0.5, 3, 4096
+ROUNDS, SMOOTH, LEAST, LEAST_SEEDS = 3, 5.0, 0.5, 3
+SALTS = 32  # parts into which the edges of one pattern are dealt
 
 
 def digits(value: Column) -> Column:
@@ -123,26 +125,33 @@ def edges_of(scanned: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """pattern, occurs: how often its word stands in the corpus. `patterns` is bounded by PATTERNS."""
+    """pattern, occurs: how often its word stands in the corpus."""
     words = patterns.select(F.expr("substring(pattern, 2)").alias("word")).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    every = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word"))
-    counted = every.join(F.broadcast(words), "word").groupBy("word").agg(F.count(F.lit(1)).alias("occurs"))
+    every = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD - 1))
+    # summed per task before the shuffle and joined after it, so a word is one row however often it stands
+    counted = every.groupBy("word").agg(F.count(F.lit(1)).alias("occurs")).join(words, "word")
     return patterns.select("pattern", F.expr("substring(pattern, 2)").alias("word")).join(counted, "word", "left").select("pattern", F.coalesce("occurs", F.lit(0)).alias("occurs"))
 
 
-def bootstrap(docs: DataFrame, scanned: DataFrame, text_col: str = "text", rounds: int = ROUNDS, least: float = LEAST, smooth: float = SMOOTH, least_seeds: int = LEAST_SEEDS, patterns: int = PATTERNS) -> DataFrame:
+def with_patterns(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges (pattern, value, ...) joined to one row per pattern; a common word's edges go to SALTS tasks."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+    every = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["pattern", "salt"]).drop("salt")
+
+
+def bootstrap(docs: DataFrame, scanned: DataFrame, text_col: str = "text", rounds: int = ROUNDS, least: float = LEAST, smooth: float = SMOOTH, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """value, score of the discovered identifiers."""
     edges = cut(edges_of(scanned), "pii-edges")
     support = edges.where("seed").groupBy("pattern").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    support = support.orderBy(F.desc("seeds"), "pattern").limit(patterns).select("pattern")
-    weight = cut(occurrences(docs, text_col, support), "pii-patterns")
-    graph = edges.join(F.broadcast(weight), "pattern").select("pattern", "value", "seed", "n", F.greatest("occurs", "n").alias("occurs"))
+    weight = cut(occurrences(docs, text_col, support.select("pattern")), "pii-patterns")
+    graph = cut(with_patterns(edges, weight).select("pattern", "value", "seed", "n", F.greatest("occurs", "n").alias("occurs")), "pii-graph")
     score = graph.select("pattern", "value", F.col("seed").cast("double").alias("score"), "n", "seed", "occurs")
     found = None
     for i in range(rounds):
         by_pattern = score.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / (F.max("occurs") + smooth)).alias("p"))
-        linked = graph.join(F.broadcast(by_pattern), "pattern")
+        linked = with_patterns(graph, by_pattern)
         miss = F.sum(F.log1p(-F.least("p", F.lit(0.999999))))
         found = linked.groupBy("value").agg(F.when(F.bool_or("seed"), 1.0).otherwise(1 - F.exp(miss)).alias("score"), F.bool_or("seed").alias("known"))
         if i + 1 < rounds:
