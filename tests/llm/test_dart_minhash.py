@@ -107,3 +107,25 @@ def test_packed_sketches_count_differences(spark):
     pa_, pb_ = (dm.packed(x[None])[0].tolist() for x in (a, b))
     got = spark.createDataFrame([(pa_, pb_)], "a array<long>, b array<long>").select(dm.sketches_differ(F.col("a"), F.col("b"), 15)).first()[0]
     assert got == int((((a >> np.uint64(40)) & np.uint64(15)) != ((b >> np.uint64(40)) & np.uint64(15))).sum())
+
+
+def test_plain_copies_with_a_repeated_passage(spark):
+    """Texts whose sets agree are one class, however often one of them repeats a passage."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        words = [f"x{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[-10:] * 60))]
+    assert {r["doc_id"]: r["class_id"] for r in dm.near_duplicate_classes(odd.documents(spark, rows)).collect()} == {i: i - i % 2 for i in range(40)}
+
+
+def test_plain_copies_in_a_split_bucket(spark):
+    """Bands and sketches see a plain pair, also where neither text is its bucket's centre."""
+    words = [f"x{i}" for i in range(300)]
+    a, b = " ".join(words), " ".join(words + words[-10:] * 20)
+    hashes = dm.WordHashes()
+    (_, weighted, repeats, plain) = next(dm.both_signatures([a, b], hashes, dm.SKETCH))
+    agree = dm.least_agreement(dm.THRESHOLD, dm.SKETCH)
+    assert repeats.tolist() == [1] and (weighted[0] == weighted[1]).sum() < agree <= (weighted[0] == plain[0]).sum()
+    one, two = dm.text_buckets([a, b], hashes, dm.BANDS, dm.ROWS)
+    assert len(one) == dm.BANDS and len(set(one) & set(two)) > dm.BANDS // 2

@@ -15,7 +15,9 @@ group: equal texts are one node, and each bucket first links its members to one
 that shares most buckets with others and so stands in the middle of its group. Only where that
 leaves a bucket's members in different classes do they meet each other, and a pair of them leaves
 the join once, at its first common band, and only if its packed sketches (four bits of each of SKETCH
-coordinates) agree as a pair at the threshold would with all but 3 in a million chance.
+coordinates) agree as a pair at the threshold would with all but 3 in a million chance. A text that
+repeats a shingle has bands and a sketch of its plain set as well, and either measure's agreement
+makes a pair a candidate.
 
 Defined results: null text counts as empty; all empty texts are one class; a text of under five
 words is one element; a null id stays null and a class of null ids only has a null class id;
@@ -197,6 +199,42 @@ def text_bands(texts: list[str], hashes: WordHashes, bands: int, rows: int, size
     return out
 
 
+def both_signatures(texts: list[str], hashes: WordHashes, coordinates: int, size: int = SHINGLE):
+    """(first text, weighted signatures, the texts that repeat a shingle, signatures of their plain sets), lot by lot.
+
+    Without repeated shingles the plain signature is the weighted one."""
+    cells: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
+    repeats: list[int] = []
+    start = held = 0
+    for i, text in enumerate(texts):
+        h = shingles(words_of(text), hashes, size)
+        nth = nth_of_equal(h)
+        if nth is not None:
+            repeats.append(i - start)
+            sets.append(mix(h[nth == 0]))
+            held += len(sets[-1])
+        cells.append(mix(h) if nth is None else mix(h + nth.astype(U64) * GOLD))
+        held += len(h)
+        if held > CELLS or i + 1 == len(texts):
+            every = cells + sets
+            owner = np.repeat(np.arange(len(every)), [len(c) for c in every])
+            found = darts(np.concatenate(every), None, owner, len(every), coordinates)
+            yield start, found[: len(cells)], np.array(repeats, np.int64), found[len(cells) :]
+            cells, sets, repeats, start, held = [], [], [], i + 1, 0
+
+
+def text_buckets(texts: list[str], hashes: WordHashes, bands: int, rows: int, size: int = SHINGLE) -> list[np.ndarray]:
+    """Band hashes of each text by its weights, then those by its plain set that differ."""
+    out: list[np.ndarray] = []
+    for start, weighted, repeats, plain in both_signatures(texts, hashes, bands * rows, size):
+        out += list(band_hashes(weighted, bands, rows))
+        for i, found in zip(repeats.tolist(), band_hashes(plain, bands, rows), strict=True):
+            mine = out[start + i]
+            out[start + i] = np.concatenate([mine, found[found != mine]])
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The larger of weighted and plain Jaccard similarity of two sorted arrays of shingle hashes."""
     (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
@@ -272,23 +310,27 @@ def signed(source: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = text_bands(batch.column(2).to_pylist(), hashes, bands, rows, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(found)], names=["doc_id", "key", "bands"])
+            found = text_buckets(batch.column(2).to_pylist(), hashes, bands, rows, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
 
 
 def sketched(texts: DataFrame, coordinates: int, size: int) -> DataFrame:
-    """key, packed sketch of texts (key, text)."""
+    """key, packed sketches by weights and by plain set (null where it is the same) of texts (key, text)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            parts = [packed(s) for _, s in text_signatures(batch.column(1).to_pylist(), hashes, coordinates, size)]
-            found = np.concatenate(parts) if parts else np.empty((0, -(-coordinates // 16)), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], names=["key", "sketch"])
+            sketch, plain = [], [None] * batch.num_rows
+            for start, weighted, repeats, sets in both_signatures(batch.column(1).to_pylist(), hashes, coordinates, size):
+                sketch += list(packed(weighted))
+                for i, found in zip(repeats.tolist(), packed(sets) if len(sets) else [], strict=True):
+                    plain[start + i] = found
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, kind), pa.array(plain, kind)], names=["key", "sketch", "plain"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, sketch array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key binary, sketch array<bigint>, plain array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -355,9 +397,12 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     apart = cut(of.join(split, "bucket", "left_semi"), "apart")
     sketches = cut(sketched(texts.join(apart.select("key").distinct(), "key"), SKETCH, size), "sketches")
     apart = apart.join(crowd.select("key", "bands").join(sketches, "key"), "key")
-    one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), SKETCH // 16) <= SKETCH - least_agreement(threshold, SKETCH)
-    first = F.expr("bucket_a = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
+    one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("plain").alias(f"plain_{x}")) for x in "ab")
+    most = SKETCH - least_agreement(threshold, SKETCH)
+    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), SKETCH // 16) <= most
+    repeats = F.col("plain_a").isNotNull() | F.col("plain_b").isNotNull()
+    alike |= repeats & (sketches_differ(F.coalesce("plain_a", "sketch_a"), F.coalesce("plain_b", "sketch_b"), SKETCH // 16) <= most)
+    first = F.expr("bucket_a = element_at(array_intersect(bands_a, bands_b), 1)")
     met = one.join(two, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("label_a") < F.col("label_b")) & alike & first).select("a", "b")
     more = cut(verified(met, texts, threshold, size), "edges")
     if not more.isEmpty():
