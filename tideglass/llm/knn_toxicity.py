@@ -1,22 +1,31 @@
-"""Toxicity by the nearest labelled examples, found exactly in block-max inverted indexes.
-
-Fitting: TERMS words are chosen by chi-squared association with the label in at most LABELLED
-labelled rows (those with the least hash of their id; the bound of the fit). Their document
-frequencies come from all documents. Labelled texts become unit TF-IDF vectors over these words;
-those with any of them form the index.
-
-Search: each term has postings, sorted by example and cut into blocks of BLOCK examples, and the
-largest weight per block. A query takes blocks by falling upper bound and ends when no bound is above
-its K-th best cosine, so the K nearest are exact (ties go to the example that stands first).
-
-Score: votes of the K nearest, weighted by the inverse of their distance, mapped to a probability
-by a monotone curve fitted to leave-one-out votes of the index. A text without any chosen term has
-no neighbours and gets the smoothed share of toxic examples among labelled texts without one.
-
-Defined results: null or empty text has no terms; labels that are null are no labels, several of one
-id count as toxic if any is; without labelled rows each score is 0.5 * PRIOR_TOXIC / PRIOR_ROWS, far
-below one half; repeated rows are scored alike; an empty table gives an empty result; labels, lang,
-source and ids enter no score.
+"""Toxicity by the nearest labelled examples, found exactly in a block-max inverted index.
+
+Fitting: the examples are at most LABELLED labelled rows, those with the least hash of their id, and
+no more of them than hold ENTRIES entries (a word of a text) in all: both bound what the driver and each
+worker hold. Whole texts become unit vectors over all words of the examples, weighted by
+(1 + ln count) * idf * (BASE + association): document frequencies are counted over all documents, and
+the association with the label is the phi coefficient beyond what chance gives. No word is dropped.
+
+Index: examples are ordered by spherical clusters and cut into blocks of BLOCK. Words in many examples
+(at most FREQUENT) keep their weights as a dense block of each lot of examples, all others as postings,
+and each dense word has its largest weight per block. A block's bound for a query is the sum of its
+dense words' largest weights times the query's, plus the best of the block's exact sums over postings.
+
+Search: a query takes its best block first; blocks whose bound is under its K-th best cosine are
+skipped, so the K nearest are exact. Candidates are found in single precision with a margin and ranked
+by their cosine in double precision; ties go to the example that stands first.
+
+Score: votes of the K nearest, weighted by the inverse of their distance, mapped to a probability by a
+monotone curve. The curve is fitted to votes of the examples on each other. An example with the very
+same text has no vote, in fitting and in scoring: no label decides its own text's score, and the curve
+holds for labelled and other texts alike. A text without neighbours gets the examples' smoothed share of
+toxic ones.
+
+Defined results: null or empty text has no words; labels that are null are no labels, several of one
+id count as toxic if any is; rows of one id with different texts are examples each; without labelled
+rows each score is PRIOR_TOXIC / PRIOR_ROWS, far below one half; repeated rows are scored alike; a word
+in no example has no weight; an empty table gives an empty result; a result column whose name the table
+has already gets underscores behind it; labels, lang, source and ids enter no score.
 """
 
 from __future__ import annotations
@@ -26,14 +35,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-LABELLED, TERMS, LEAST_CHI2, LEAST_ROWS = 20_000, 256, 30.0, 5
-K, BLOCK = 25, 64
+from tideglass.llm.common import cut, free_names
+
+LABELLED, ENTRIES = 12_000, 4_000_000
+K, BLOCK, FREQUENT = 25, 512, 512
+BASE, CHANCE = 0.02, 10.0  # weight of a word without association; chi-squared that counts as chance
 NEAR = 0.05  # added to a distance before it is inverted
-PRIOR_ROWS, PRIOR_TOXIC = 20.0, 1.0
-FLUSH = 400_000
+PRIOR_ROWS, PRIOR_TOXIC = 20.0, 0.5
+LOT_QUERIES, LOT_POSTINGS = 48, 2_000_000  # queries and postings that are worked on at once
+MARGIN = 1e-4  # more than single precision loses in a cosine
+EVIDENCE = 3
 WORD = re.compile(r"\w+")
 
 
@@ -42,124 +58,218 @@ def words_of(text: str) -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column | None, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """text, toxic of at most `most` labelled documents; usable: a condition on the labels' ids."""
+    """place, id, digest, toxic, text of labelled documents; usable: a condition on the labels' ids."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.where(usable) if usable is not None else known
-    known = known.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).alias("toxic"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(id_col).alias("__id"), text).join(F.broadcast(known), "__id").select("text", "toxic")
+    known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
+    known = known.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(most)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    return texts.join(F.broadcast(known), "id").select("place", "id", "digest", "toxic", "text")
 
 
-def choose_terms(rows: DataFrame, most: int, least_chi2: float) -> tuple[list[str], int, int]:
-    """The words most associated with the label, and the counts of rows and of toxic ones."""
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows with the distinct words of each text and their counts in place of the text."""
 
     def run(batches):
-        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for batch in batches:
+            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
+            columns = [*(batch.column(c) for c in ("place", "id", "digest", "toxic"))]
+            columns += [pa.array([len(c) for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "id", "digest", "toxic", "size", "words", "counts"])
 
-        def out():
-            for toxic, counter in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array([int(toxic)] * len(counter), pa.int64()), pa.array(counter.values(), pa.int64())], names=["word", "toxic", "n"])
-                counter.clear()
+    fields = [rows.schema[c] for c in ("place", "id", "digest", "toxic")]
+    fields += [T.StructField("size", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(run, T.StructType(fields))
 
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # an empty word counts the rows themselves
-                seen[toxic].update({"", *words_of(text)})
-            if sum(map(len, seen.values())) > FLUSH:
-                yield from out()
-        yield from out()
-
-    counted = rows.mapInArrow(run, "word string, toxic bigint, n bigint")
-    counted = counted.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    head = counted.where("word = ''").first()
-    if head is None or not head["a"] or not head["b"]:
-        return [], (head["a"] + head["b"] if head else 0), (head["a"] if head else 0)
-    n1, n0 = float(head["a"]), float(head["b"])
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n = n1 + n0
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / ((a + b) * (n - a - b) * n1 * n0)
-    found = counted.where((F.col("word") != "") & (a + b >= LEAST_ROWS) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    found = found.orderBy(F.desc("chi2"), "word").limit(most).select("word").collect()
-    return [r["word"] for r in found], int(n), int(n1)
-
-
-def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.ndarray, int]:
-    """Of each term over all documents, and their number."""
-    at = {t: i for i, t in enumerate(terms)}
+
+def chosen_examples(rows: DataFrame, most: int, entries: int) -> pa.Table:
+    """The examples in order of place: within both bounds, each text of an id once."""
+    every = cut(counted(rows), "toxicity-examples").dropDuplicates(["place", "digest"])
+    sizes = every.select("place", "digest", "size").orderBy("place", "digest").limit(most).toArrow()
+    fit = int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy()), entries, side="right"))
+    if fit == 0:
+        return every.limit(0).toArrow()
+    last = F.struct(F.lit(sizes.column("place")[fit - 1].as_py()), F.lit(sizes.column("digest")[fit - 1].as_py()))
+    return every.where(F.struct("place", "digest") <= last).orderBy("place", "digest").toArrow()
+
+
+def document_frequencies(docs: DataFrame, words: pa.Array, text_col: str) -> tuple[np.ndarray, int]:
+    """Of each word over all documents, and their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        at = {w: i for i, w in enumerate(shared.value.to_pylist())}
         counts = np.zeros(len(at) + 1, np.int64)
         for batch in batches:
             counts[-1] += batch.num_rows
             for text in batch.column(0).to_pylist():
-                for w in at.keys() & set(words_of(text)):
-                    counts[at[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["term", "n"])
+                counts[[i for i in map(at.get, set(words_of(text))) if i is not None]] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["term", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    summed = texts.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    every = np.zeros(len(at) + 1, np.int64)
+    summed = texts.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros(len(words) + 1, np.int64)
     every[summed.column("term").to_numpy()] = summed.column("n").to_numpy()
     return every[:-1], int(every[-1])
 
 
-class Vectors:
-    """Texts to unit TF-IDF vectors, as tuples of (term, weight)."""
+def association(terms: np.ndarray, owner: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """Phi coefficient of each term with the label, less what chance gives."""
+    n, n1 = float(len(toxic)), float(toxic.sum())
+    n0 = n - n1
+    if not n1 or not n0:
+        return np.zeros(n_terms)
+    a = np.bincount(terms[toxic[owner]], minlength=n_terms).astype(float)
+    b = np.bincount(terms[~toxic[owner]], minlength=n_terms).astype(float)
+    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * n1 * n0, 1.0)
+    return np.sqrt(np.maximum(chi2 - CHANCE, 0.0) / n)
 
-    def __init__(self, terms: list[str], df: np.ndarray, n: int):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.idf = np.log((1 + n) / (1 + df)) + 1.0
 
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        at = self.at
-        return tuple(sorted(Counter(at[w] for w in words_of(text) if w in at).items()))
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + length), one after the other."""
+    total = int(lengths.sum())
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
 
-    def weights(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in counts], np.int64)
-        w = np.array([1 + np.log(c) for _, c in counts]) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
+def clustered(dense: np.ndarray, parts: int, rounds: int = 4) -> np.ndarray:
+    """An order of the rows in which those of one spherical cluster stand together."""
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    centres = unit[np.linspace(0, len(unit) - 1, parts).astype(int)]
+    for _ in range(rounds):
+        of = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, unit)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    near = unit @ centres.T
+    of = near.argmax(1)
+    return np.lexsort((-near[np.arange(len(unit)), of], of))
 
-class BlockMaxIndex:
-    """Postings per term in blocks of BLOCK examples with the largest weight of each."""
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(examples)
+class BlockMaxIndex:
+    """Unit vectors of examples, in blocks of BLOCK. `terms`, `weights`, `cuts` are their entries, example by example."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, digests: np.ndarray | None = None):
+        self.n, self.n_terms = len(vectors), n_terms
+        self.cuts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
+        self.terms = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int32)
+        self.weights = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(float)
+        df = np.bincount(self.terms, minlength=n_terms)
+        order = np.argsort(-df, kind="stable")[: min(FREQUENT, n_terms)]
+        self.frequent = np.sort(order[df[order] >= max(2, self.n // 64)])
         self.blocks = -(-self.n // BLOCK)
-        self.highest = np.zeros((n_terms, self.blocks))
-        who: list[list[int]] = [[] for _ in range(n_terms)]
-        much: list[list[float]] = [[] for _ in range(n_terms)]
-        for i, (terms, weights) in enumerate(examples):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                who[t].append(i)
-                much[t].append(w)
-                self.highest[t, i // BLOCK] = max(self.highest[t, i // BLOCK], w)
-        self.who = [np.array(x, np.int64) for x in who]
-        self.much = [np.array(x) for x in much]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.cuts = [np.searchsorted(x, edges).tolist() for x in self.who]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with cosine over 0, best first."""
-        bound = weights @ self.highest[terms]
-        order = np.argsort(-bound, kind="stable")
-        ids, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < cosines[k - 1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.who[t][lo:hi] - b * BLOCK] += w * self.much[t][lo:hi]
-            found = np.flatnonzero(scores > 0)
-            at = found + b * BLOCK
-            if without >= 0:
-                found, at = found[at != without], at[at != without]
-            ids, cosines = np.concatenate([ids, at]), np.concatenate([cosines, scores[found]])
-            best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-            ids, cosines = ids[best], cosines[best]
-        return ids, cosines
+        self.order = np.arange(self.n)
+        if self.blocks > 1 and len(self.frequent):
+            self._reorder(clustered(self._dense().T, self.blocks))
+        self.digests = (digests if digests is not None else np.arange(self.n))[self.order]
+        self.ready = None
+
+    def _reorder(self, order: np.ndarray) -> None:
+        lengths = np.diff(self.cuts)[order]
+        at = ranges(self.cuts[:-1][order], lengths)
+        self.terms, self.weights = self.terms[at], self.weights[at]
+        self.cuts, self.order = np.concatenate([[0], np.cumsum(lengths)]), order
+
+    def _dense(self) -> np.ndarray:
+        at = np.full(self.n_terms, -1, np.int64)
+        at[self.frequent] = np.arange(len(self.frequent))
+        owner = np.repeat(np.arange(self.n), np.diff(self.cuts))
+        mine = at[self.terms] >= 0
+        dense = np.zeros((len(self.frequent), self.n), np.float32)
+        dense[at[self.terms[mine]], owner[mine]] = self.weights[mine]
+        return dense
+
+    def __getstate__(self):
+        return self.__dict__ | {"ready": None}
+
+    def prepared(self):
+        """(place of a frequent term or -1, dense blocks, their largest weights, postings: cuts, examples, weights)."""
+        if self.ready is None:
+            at = np.full(self.n_terms, -1, np.int64)
+            at[self.frequent] = np.arange(len(self.frequent))
+            dense = np.zeros((len(self.frequent), self.blocks * BLOCK), np.float32)
+            dense[:, : self.n] = self._dense()
+            blocks = np.ascontiguousarray(dense.reshape(len(self.frequent), self.blocks, BLOCK).transpose(1, 0, 2))
+            rare = np.flatnonzero(at[self.terms] < 0)
+            rare = rare[np.argsort(self.terms[rare], kind="stable")]
+            owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.cuts))[rare]
+            cuts = np.searchsorted(self.terms[rare], np.arange(self.n_terms + 1))
+            same: dict[int, list[int]] = {}
+            for i, d in enumerate(self.digests.tolist()):
+                same.setdefault(d, []).append(i)
+            self.ready = (at, blocks, blocks.max(2).T.copy() if len(self.frequent) else np.zeros((0, self.blocks), np.float32), cuts, owner, self.weights[rare].astype(np.float32), same)
+        return self.ready
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each unit vector (terms, weights) the k nearest examples with cosine over 0, best first, and the
+        cosines; examples whose digest is that in `without` are left out."""
+        cuts = self.prepared()[3]
+        loads = [int((cuts[t + 1] - cuts[t]).sum()) for t, _ in queries]
+        out, start = [], 0
+        while start < len(queries):
+            end, load = start + 1, loads[start]
+            while end < len(queries) and end - start < LOT_QUERIES and load + loads[end] <= LOT_POSTINGS:
+                load += loads[end]
+                end += 1
+            out += self._lot(queries[start:end], k, without[start:end] if without else [None] * (end - start))
+            start = end
+        return out
+
+    def _lot(self, queries, k, without):
+        at, blocks, highest, cuts, owner, much, same = self.prepared()
+        q, width = len(queries), self.blocks * BLOCK
+        if not width:
+            return [(np.empty(0, np.int64), np.empty(0))] * q
+        dense = np.zeros((q, len(self.frequent)), np.float32)
+        keys, values = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        for j, (terms, weights) in enumerate(queries):
+            place = at[terms]
+            dense[j, place[place >= 0]] = weights[place >= 0]
+            terms, weights = terms[place < 0], weights[place < 0]
+            lengths = cuts[terms + 1] - cuts[terms]
+            found = ranges(cuts[terms], lengths)
+            keys.append(owner[found] + np.int64(j * width))
+            values.append(much[found] * np.repeat(weights.astype(np.float32), lengths))
+        rest = np.bincount(np.concatenate(keys), np.concatenate(values), q * width).astype(np.float32).reshape(q, self.blocks, BLOCK)
+        bound = dense @ highest + rest.max(2)
+        scores = np.zeros((q, self.blocks, BLOCK), np.float32)
+        twins = [same.get(d, []) if d is not None else [] for d in without]
+
+        def score(rows: np.ndarray, b: int) -> None:
+            scores[rows, b] = dense[rows] @ blocks[b] + rest[rows, b]
+            for j in rows.tolist():
+                for e in twins[j]:
+                    if e // BLOCK == b:
+                        scores[j, b, e % BLOCK] = 0.0
+
+        first = bound.argmax(1)
+        kth = max(0, BLOCK - k)
+        least = np.zeros(q, np.float32)
+        for b in np.unique(first).tolist():
+            rows = np.flatnonzero(first == b)
+            score(rows, b)
+            least[rows] = np.partition(scores[rows, b], kth, axis=1)[:, kth] if k <= BLOCK else 0.0
+        for b in range(self.blocks):
+            rows = np.flatnonzero((bound[:, b] >= least - MARGIN) & (bound[:, b] > 0) & (first != b))
+            if len(rows):
+                score(rows, b)
+        return [self._best(scores[j].ravel(), *queries[j], k) for j in range(q)]
+
+    def _best(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least - MARGIN))
+        if not len(found):
+            return found, np.empty(0)
+        if getattr(self, "query", None) is None:
+            self.query = np.zeros(self.n_terms)
+        self.query[terms] = weights
+        lengths = np.diff(self.cuts)[found]
+        entries = ranges(self.cuts[found], lengths)
+        exact = np.add.reduceat(self.query[self.terms[entries]] * self.weights[entries], np.cumsum(lengths) - lengths)
+        self.query[terms] = 0.0
+        best = np.lexsort((self.order[found], -np.round(exact, 12)))[:k]
+        return found[best], exact[best]
 
 
 def vote(cosines: np.ndarray, toxic: np.ndarray) -> float:
@@ -184,92 +294,117 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    """The fitted classifier: bounded by LABELLED examples and TERMS terms."""
-
-    def __init__(self, vectors: Vectors, counts: list[tuple[tuple[int, int], ...]], toxic: list[bool], k: int = K):
-        self.vectors, self.k = vectors, k
-        labels = np.array(toxic, bool)
-        none = np.array([not c for c in counts], bool) if counts else np.zeros(0, bool)
-        self.no_terms = float((labels[none].sum() * 1.0 + 0.5 * PRIOR_TOXIC) / (none.sum() + PRIOR_ROWS))
-        # like examples stand together, so that blocks have sharp bounds
-        order = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (max(counts[i], key=lambda x: (x[1], -x[0]))[0], counts[i], i))
-        self.toxic = labels[order].astype(float)
-        examples = [vectors.weights(counts[i]) for i in order]
-        self.index = BlockMaxIndex(examples, len(vectors.at))
-        self.memo: dict = {}
-        votes, truth = [], []
-        for i, (terms, weights) in enumerate(examples):
-            ids, cosines = self.index.nearest(terms, weights, k, without=i)
-            if len(ids):
-                votes.append(vote(cosines, self.toxic[ids]))
-                truth.append(self.toxic[i])
-        self.curve = monotone(np.array(votes), np.array(truth)) if votes else (np.array([0.0, 1.0]), np.array([self.no_terms, self.no_terms]))
-
-    def score(self, text: str) -> tuple[float, int, float | None, float | None]:
-        """Probability, number of neighbours, the nearest one's cosine and the raw vote."""
-        counts = self.vectors.counts(text)
-        if (found := self.memo.get(counts)) is None:
-            found = (self.no_terms, 0, None, None)
-            if counts:
-                ids, cosines = self.index.nearest(*self.vectors.weights(counts), self.k)
-                if len(ids):
-                    raw = vote(cosines, self.toxic[ids])
-                    found = (float(np.interp(raw, *self.curve)), len(ids), float(cosines[0]), raw)
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            self.memo[counts] = found
-        return found
-
-    def evidence(self, text: str, most: int = 3) -> list[tuple[list[str], float, bool]]:
-        """The nearest labelled examples: their terms in common with the text, cosine and label."""
-        counts = self.vectors.counts(text)
-        if not counts:
-            return []
-        ids, cosines = self.index.nearest(*self.vectors.weights(counts), most)
-        names = list(self.vectors.at)
-        mine = [t for t, _ in counts]
-        return [([names[t] for t in mine if i in self.index.who[t]], float(c), bool(self.toxic[i])) for i, c in zip(ids.tolist(), cosines.tolist(), strict=True)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, terms: int = TERMS, k: int = K) -> Scorer:
+    """The fitted classifier: bounded by LABELLED examples and ENTRIES entries."""
+
+    def __init__(self, words: pa.Array, factor: np.ndarray, ids: pa.Array, toxic: np.ndarray, digests: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int):
+        self.words, self.factor, self.k = words, factor, k
+        self.index = BlockMaxIndex([self.weights(t, c) for t, c in entries], len(words), digests)
+        self.toxic = toxic[self.index.order]
+        self.ids = ids.take(pa.array(self.index.order, pa.int64()))
+        self.share = float((toxic.sum() + PRIOR_TOXIC) / (len(toxic) + PRIOR_ROWS))
+        self.curve = (np.array([0.0, 1.0]), np.array([self.share, self.share]))
+        self.at = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"at": None}
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.factor[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.at is None:
+            self.at = {w: i for i, w in enumerate(self.words.to_pylist())}
+        get = self.at.get
+        pairs = [(i, c) for w, c in Counter(words_of(text)).items() if (i := get(w)) is not None]
+        return self.weights(np.array([i for i, _ in pairs], np.int64), np.array([c for _, c in pairs], float))
+
+    def raw(self, vectors, digests) -> list[tuple[np.ndarray, np.ndarray, float | None]]:
+        """Neighbours, their cosines and their vote."""
+        found = self.index.nearest(vectors, self.k, digests)
+        return [(ids, cosines, vote(cosines, self.toxic[ids]) if len(ids) else None) for ids, cosines in found]
+
+    def calibrated(self, votes: list[float | None]) -> "Scorer":
+        """With the curve fitted to the examples' votes on each other, in index order."""
+        some = np.array([v is not None for v in votes], bool)
+        if some.any():
+            self.curve = monotone(np.array([v for v in votes if v is not None]), self.toxic[some])
+        return self
+
+    def probability(self, raw: float | None) -> float:
+        return self.share if raw is None else float(np.interp(raw, *self.curve))
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, entries: int = ENTRIES, k: int = K) -> Scorer:
     """usable: which labelled ids may be learned from, a condition on `labels`."""
-    rows = training_rows(docs, labels, usable, id_col, text_col, label_col, labelled)
-    chosen, _, _ = choose_terms(rows, terms, LEAST_CHI2)
-    df, n = document_frequencies(docs, chosen, text_col) if chosen else (np.zeros(0, np.int64), 0)
-    vectors = Vectors(chosen, df, n)
+    spark = docs.sparkSession
+    rows = chosen_examples(training_rows(docs, labels, usable, id_col, text_col, label_col, labelled), labelled, entries)
+    toxic = np.array(rows.column("toxic").to_pylist(), bool)
+    lists = rows.column("words").combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    words, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    counts = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    sizes = rows.column("size").to_numpy()
+    df, n = document_frequencies(docs, words, text_col) if len(words) else (np.zeros(0, np.int64), 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    factor = (np.log((1 + n) / (1 + df)) + 1.0) * (BASE + association(terms, owner, toxic, len(words)))
+    ends = np.cumsum(sizes)
+    each = [(terms[e - s : e], counts[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    scorer = Scorer(words, factor, rows.column("id").combine_chunks(), toxic, rows.column("digest").to_numpy(), each, k)
+    if not len(toxic):
+        return scorer
+    shared = spark.sparkContext.broadcast(scorer)
 
     def run(batches):
+        scorer = shared.value
+        index = scorer.index
         for batch in batches:
-            counts = [vectors.counts(t) for t in batch.column(0).to_pylist()]
-            flat = [[v for pair in c for v in pair] for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.int32())), batch.column(1)], names=["pairs", "toxic"])
+            at = batch.column(0).to_numpy()
+            vectors = [(index.terms[index.cuts[i] : index.cuts[i + 1]].astype(np.int64), index.weights[index.cuts[i] : index.cuts[i + 1]]) for i in at.tolist()]
+            found = scorer.raw(vectors, index.digests[at].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for *_, v in found], pa.float64())], names=["id", "vote"])
 
-    # at most `labelled` rows (more only where an id has several texts) of at most 2 * terms numbers
-    found = rows.mapInArrow(run, "pairs array<int>, toxic boolean").toArrow()
-    pairs, toxic = found.column("pairs").to_pylist(), found.column("toxic").to_pylist()
-    order = sorted(range(len(pairs)), key=lambda i: (pairs[i], toxic[i]))
-    return Scorer(vectors, [tuple(zip(pairs[i][::2], pairs[i][1::2], strict=True)) for i in order], [toxic[i] for i in order], k)
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 2, len(toxic) // 250))
+    votes = spark.range(0, len(toxic), 1, parts).mapInArrow(run, "id bigint, vote double").orderBy("id").toArrow()
+    return scorer.calibrated(votes.column("vote").to_pylist())
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text", with_evidence: bool = False) -> DataFrame:
-    """The columns of `docs` with toxic_score, toxic_neighbours, toxic_nearest (cosine) and, if asked for, toxic_evidence."""
-    own = ["toxic_score", "toxic_neighbours", "toxic_nearest", "toxic_evidence"]
-    keep = [c for c in docs.columns if c not in own]
-    source = docs.select(*keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+def with_scores(docs: DataFrame, scorer: Scorer, text_col: str, with_evidence: bool) -> DataFrame:
+    """row (a struct of the columns of `docs`), toxic_score, toxic_neighbours, toxic_nearest, toxic_evidence."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64(text).alias("digest"))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    kind = pa.list_(pa.struct([("id", scorer.ids.type), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
     def run(batches):
         scorer = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(keep.index(text_col)).cast(pa.string()).to_pylist()]
-            found = [scorer.score(t) for t in texts]
-            columns = [*batch.columns, pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())]
-            if with_evidence:
-                kind = pa.list_(pa.struct([("terms", pa.list_(pa.string())), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
-                columns.append(pa.array([[dict(zip(("terms", "cosine", "toxic"), e, strict=True)) for e in scorer.evidence(t)] for t in texts], kind))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own[: 3 + with_evidence]])
-
-    extra = ", toxic_score double, toxic_neighbours bigint, toxic_nearest double"
-    extra += ", toxic_evidence array<struct<terms:array<string>,cosine:double,toxic:boolean>>" if with_evidence else ""
-    return source.mapInArrow(run, kinds + extra)
+            found = scorer.raw([scorer.vector(t) for t in batch.column(1).to_pylist()], batch.column(2).to_pylist())
+            columns = [batch.column(0), pa.array([scorer.probability(v) for *_, v in found], pa.float64()), pa.array([len(i) for i, *_ in found], pa.int64()), pa.array([float(c[0]) if len(c) else None for _, c, _ in found], pa.float64())]
+            top = [(i[:EVIDENCE], c[:EVIDENCE]) for i, c, _ in found] if with_evidence else [None] * len(found)
+            columns.append(pa.array([t and [{"id": scorer.ids[e].as_py(), "cosine": x, "toxic": bool(scorer.toxic[e])} for e, x in zip(t[0].tolist(), t[1].tolist(), strict=True)] for t in top], kind))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "toxic_score", "toxic_neighbours", "toxic_nearest", "toxic_evidence"])
+
+    id_kind = T.StructType([T.StructField("id", _spark_type(scorer.ids.type)), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
+    out = [source.schema["row"], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_neighbours", T.LongType()), T.StructField("toxic_nearest", T.DoubleType()), T.StructField("toxic_evidence", T.ArrayType(id_kind))]
+    return source.mapInArrow(run, T.StructType(out))
+
+
+def _spark_type(kind: pa.DataType) -> T.DataType:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind)
+
+
+def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text", with_evidence: bool = False) -> DataFrame:
+    """The columns of `docs` with toxic_score, toxic_neighbours, toxic_nearest (cosine) and, if asked for,
+    toxic_evidence: id, cosine and label of the nearest examples."""
+    own = ["toxic_score", "toxic_neighbours", "toxic_nearest", "toxic_evidence"][: 3 + with_evidence]
+    names = free_names(docs.columns, own)
+    return with_scores(docs, scorer, text_col, with_evidence).select("row.*", *(F.col(o).alias(n) for o, n in zip(own, names, strict=True)))
+
+
+def drop_toxic(docs: DataFrame, scorer: Scorer, most: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose score is under `most`."""
+    return with_scores(docs, scorer, text_col, False).where(F.col("toxic_score") < most).select("row.*")

@@ -64,8 +64,9 @@ def op7_knn_toxicity(spark, sf_dir):
 
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     scorer = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), F.expr("crc32(cast(doc_id as string)) % 5 != 0"))
-    scored = score_documents(docs.select("doc_id", "text"), scorer)
-    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), F.col("toxic_score").alias("score"), F.expr("cast(toxic_score >= 0.5 as int)").alias("predicted"), "toxic_neighbours", "toxic_nearest")
+    scored = score_documents(docs.select("doc_id", "text"), scorer, with_evidence=True)
+    nearest = F.transform("toxic_evidence", lambda e: F.concat_ws(":", e["id"].cast("string"), F.round(e["cosine"], 6).cast("string"), e["toxic"].cast("int").cast("string")))
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), F.col("toxic_score").alias("score"), F.expr("cast(toxic_score >= 0.5 as int)").alias("predicted"), "toxic_neighbours", "toxic_nearest", F.array_join(nearest, ",").alias("evidence"))
 
 
 def op9_bootstrapped_pii(spark, sf_dir):
