@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm import common
 from tideglass.llm.dart_minhash import drop_near_duplicates
-from tideglass.llm.knn_toxicity import fit, score_documents
+from tideglass.llm.knn_toxicity import drop_toxic, fit
 from tideglass.llm.mixing import mix
 from tideglass.llm.packing import pack_documents
 from tideglass.llm.secret_scan import redact
@@ -28,8 +28,7 @@ LOW_QUALITY = {"0": 0.5}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scorer = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score_documents(docs, scorer).where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    return drop_toxic(docs, fit(docs, common.table(spark, sf_dir, "labels")), TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
