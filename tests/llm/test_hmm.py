@@ -37,7 +37,7 @@ def test_expected_counts_and_rising_likelihood():
     starts = np.arange(20) * 20
     last = -np.inf
     for _ in range(6):
-        f, s, c = m.expected(ids, starts, lengths, np.ones(20, bool))
+        f, s, c = m.expected(ids, starts, lengths)
         assert f.sum() == pytest.approx(20) and s.sum() == pytest.approx(380) and c.sum() == pytest.approx(400)
         score = m.log10(ids, starts, lengths).sum()
         assert score > last - 0.5
@@ -45,13 +45,45 @@ def test_expected_counts_and_rising_likelihood():
         m = hmm.Model.of_counts(f, s, c, prior)
 
 
-def test_windows_cover_all_tokens():
-    starts, lengths = np.array([0, 1300, 1301]), np.array([1300, 1, 512])
-    seen = np.zeros(1813, int)
-    for _, at, n, fresh in hmm.chunks(np.arange(1813), starts, lengths, 512):
-        for a, k in zip(at, n):
-            seen[a : a + k] += 1
-    assert (seen == 1).all()
+def plain_baum_welch(m, texts):
+    """Expected counts by the textbook recursions, one text after the other."""
+    states = len(m.pi)
+    first, steps, classes = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.b)
+    for x in texts:
+        alpha, beta, scale = np.zeros((len(x), states)), np.ones((len(x), states)), np.zeros(len(x))
+        for t, w in enumerate(x):
+            alpha[t] = (m.pi if t == 0 else alpha[t - 1] @ m.a) * m.b[w]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = m.a @ (m.b[x[t + 1]] * beta[t + 1]) / scale[t + 1]
+        for t, w in enumerate(x):
+            classes[w] += alpha[t] * beta[t]
+            if t + 1 < len(x):
+                steps += alpha[t][:, None] * m.a * (m.b[x[t + 1]] * beta[t + 1])[None] / scale[t + 1]
+        first += alpha[0] * beta[0]
+    return first, steps, classes
+
+
+@pytest.mark.parametrize("chunk", [400_000, 700, 90])
+def test_pass_like_plain_baum_welch(spark, monkeypatch, chunk):
+    """Whole texts, one of them over 1,000 tokens and longer than what is worked on at once."""
+    monkeypatch.setattr(hmm, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    prior = np.full(9, 0.3)
+    m = hmm.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(9), 4).T.copy())
+    texts = [rng.integers(0, 9, n).tolist() for n in (1500, 1, 2, 40, 40, 333, 7, 1, 90)]
+    want = plain_baum_welch(m, texts)
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    got = [np.zeros_like(x) for x in want]
+    for _, at, n in hmm.lots(starts, lengths):
+        for total, x in zip(got, m.expected(ids, at, n), strict=True):
+            total += x
+    assert all(np.allclose(g, w) for g, w in zip(got, want, strict=True))
+    after = hmm.baum_welch_pass(spark.createDataFrame([(t,) for t in texts], "ids array<int>").repartition(3), m, prior)
+    best = hmm.Model.of_counts(*want, prior)
+    assert np.allclose(after.pi, best.pi) and np.allclose(after.a, best.a) and np.allclose(after.b, best.b)
 
 
 def test_base_and_gain(spark, sf):

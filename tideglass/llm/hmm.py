@@ -7,11 +7,13 @@ with one place for words it has not seen, so the text's probability is a proper
 on the driver and sent to workers is bounded by VOCABULARY; the counts of rare words stay in a
 table and meet the texts in a join by word.
 
-Training: word counts over all training texts; texts as class ids, written once; a start from
-WARM_TEXTS texts on the driver; then PASSES Baum-Welch passes over all training texts, each task
-giving expected counts per class, summed by class in Spark. For these passes only, long texts are
-cut into WINDOW tokens that start from the stationary state; all windows are used. Scoring runs
-the forward recursion over each whole text.
+Training: word counts over all training texts; texts as class ids, written once; a start from the
+counts of all classes, spread over the states at random with a fixed seed; then PASSES Baum-Welch passes,
+each over all training texts in their whole length. A task adds up the expected counts of its texts, and
+PARTIALS tasks at least, or three per core, share a pass, so what is shuffled grows with the cluster and
+not with the corpus; Spark sums them by class. Forward and backward recursions run over whole texts: a lot
+of texts of about equal length at a time, and a text beyond CHUNK tokens in segments that hand on the
+forward state and take back the backward one, so memory is bounded and no step is left out.
 
 Defined results: null or empty text is the end token alone; a null id is never held out; repeated
 rows are scored each; an empty table gives an empty result; without training texts all words are
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.common import cut
 
-STATES, PASSES, VOCABULARY, RARE = 8, 3, 65_536, 256
+STATES, PASSES, VOCABULARY, RARE = 8, 8, 65_536, 256
 LONGEST_WORD = 64  # bytes of a word in the vocabulary; longer ones are rare words
-WARM_TEXTS, WARM_PASSES, WINDOW = 1500, 10, 512
+PARTIALS = 64  # tasks that share a pass, at least
 CHUNK = 400_000  # tokens worked on at once
 FLUSH = 400_000  # words a task counts before it hands them on
 LN10 = np.log(10.0)
@@ -141,56 +143,56 @@ class Model:
         out[order] = total / LN10
         return out
 
-    def expected(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fresh: np.ndarray):
-        """Expected counts of starts (of sequences marked fresh), steps and classes."""
+    def _forward(self, ids: np.ndarray, at: np.ndarray, alive: list[int], lo: int, hi: int, alpha: np.ndarray | None):
+        """Of steps lo to hi, after `alpha`: places, scaled forward states, scales and emissions."""
+        places, alphas, scales, emits = [], [], [], []
+        for t in range(lo, hi):
+            n = alive[t]
+            places.append(at[:n] + t)
+            emits.append(self.b[ids[places[-1]]])
+            alpha = (self.pi if alpha is None else alpha[:n] @ self.a) * emits[-1]
+            scales.append(alpha.sum(1))
+            alpha /= scales[-1][:, None]
+            alphas.append(alpha)
+        return places, alphas, scales, emits
+
+    def expected(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Expected counts of starts, steps and classes over whole sequences."""
         s = len(self.pi)
         order = np.argsort(-lengths, kind="stable")
-        at, lengths, fresh = starts[order], lengths[order], fresh[order]
+        at, lengths = starts[order], lengths[order]
         alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
-        still = np.linalg.matrix_power(self.a, 64)[0]
-        alphas, scales, emits, where = [], [], [], []
-        for t, n in enumerate(alive):
-            where.append(at[:n] + t)
-            emitted = self.b[ids[where[-1]]]
-            alpha = np.where(fresh[:, None], self.pi, still) * emitted if t == 0 else (alphas[-1][:n] @ self.a) * emitted
-            scale = alpha.sum(1)
-            alphas.append(alpha / scale[:, None])
-            scales.append(scale)
-            emits.append(emitted)
-        steps = np.zeros((s, s))
-        gammas = [np.empty(0)] * len(alive)
-        beta = np.ones((0, s))
-        for t in range(len(alive) - 1, -1, -1):
-            n = alive[t]
-            if t + 1 < len(alive):
-                m = alive[t + 1]
-                ahead = emits[t + 1] * beta / scales[t + 1][:, None]
-                steps += alphas[t][:m].T @ ahead
-                now = np.ones((n, s))
-                now[:m] = ahead @ self.a.T
-                beta = now
-            else:
-                beta = np.ones((n, s))
-            gammas[t] = alphas[t] * beta
-        first = gammas[0][fresh].sum(0)
-        tokens, gamma = ids[np.concatenate(where)], np.concatenate(gammas)
-        classes = np.stack([np.bincount(tokens, gamma[:, i], len(self.b)) for i in range(s)], 1)
+        width = len(alive) if lengths.sum() <= CHUNK else max(1, CHUNK // len(at))
+        cuts = list(range(0, len(alive), width))
+        entered: list[np.ndarray | None] = [None]
+        for lo in cuts[:-1]:
+            entered.append(self._forward(ids, at, alive, lo, lo + width, entered[-1])[1][-1])
+        steps, classes, first = np.zeros((s, s)), np.zeros((len(self.b), s)), np.zeros(s)
+        ahead = np.empty((0, s))
+        for lo, alpha in zip(reversed(cuts), reversed(entered), strict=True):
+            hi = min(lo + width, len(alive))
+            places, alphas, scales, emits = self._forward(ids, at, alive, lo, hi, alpha)
+            gammas = [np.empty(0)] * (hi - lo)
+            for i in range(hi - lo - 1, -1, -1):
+                m = len(ahead)
+                steps += alphas[i][:m].T @ ahead
+                beta = np.ones((len(alphas[i]), s))
+                beta[:m] = ahead @ self.a.T
+                gammas[i] = alphas[i] * beta
+                ahead = emits[i] * beta / scales[i][:, None]
+            tokens, gamma = ids[np.concatenate(places)], np.concatenate(gammas)
+            classes += np.stack([np.bincount(tokens, gamma[:, i], len(self.b)) for i in range(s)], 1)
+            first = gammas[0].sum(0)
         return first, steps * self.a, classes
 
 
-def chunks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int | None):
-    """(starts, lengths, fresh) of sequences of about equal length, CHUNK tokens or one sequence at a time."""
-    fresh = np.ones(len(starts), bool)
-    if window:
-        pieces = -(-lengths // window)
-        who = np.repeat(np.arange(len(starts)), pieces)
-        nth = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, lengths, fresh = starts[who] + nth * window, np.minimum(window, lengths[who] - nth * window), nth == 0
+def lots(starts: np.ndarray, lengths: np.ndarray):
+    """(places, starts, lengths) of sequences of about equal length, CHUNK tokens or one sequence at a time."""
     order = np.argsort(lengths, kind="stable")
     lot = np.cumsum(lengths[order]) // CHUNK
     for part in np.split(order, np.flatnonzero(np.diff(lot)) + 1):
         if len(part):
-            yield part, starts[part], lengths[part], fresh[part]
+            yield part, starts[part], lengths[part]
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,17 +209,18 @@ def baum_welch_pass(data: DataFrame, model: Model, prior: np.ndarray) -> Model:
         classes, steps, first = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
         for batch in batches:
             ids, starts, lengths = flat(batch.column(0))
-            for _, at, n, fresh in chunks(ids, starts, lengths, WINDOW):
-                f, s, c = model.expected(ids, at, n, fresh)
+            for _, at, n in lots(starts, lengths):
+                f, s, c = model.expected(ids, at, n)
                 first += f
                 steps += s
                 classes += c
         every = np.concatenate([classes, steps, first[None]])
         kept = np.flatnonzero(every.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), *(pa.array(every[kept, i].astype(np.float32)) for i in range(states))], names=["class", *(f"s{i}" for i in range(states))])
+        yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), *(pa.array(every[kept, i]) for i in range(states))], names=["class", *(f"s{i}" for i in range(states))])
 
     columns = [f"s{i}" for i in range(states)]
-    parts = data.select("ids").mapInArrow(run, "class int, " + ", ".join(f"{c} float" for c in columns))
+    tasks = max(PARTIALS, 3 * data.sparkSession.sparkContext.defaultParallelism)
+    parts = data.select("ids").coalesce(tasks).mapInArrow(run, "class int, " + ", ".join(f"{c} double" for c in columns))
     summed = parts.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     every = np.zeros((size + states + 1, states))
     every[summed.column("class").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in columns], 1)
@@ -225,7 +228,9 @@ def baum_welch_pass(data: DataFrame, model: Model, prior: np.ndarray) -> Model:
 
 
 def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES, vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is false."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is false.
+
+    `vocabulary` bounds what is broadcast; the words beyond it share classes and keep their own counts."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = texts.where(~F.col("held_out"))
     counts = cut(word_counts(train), "words")
@@ -258,17 +263,8 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
 
     model = Model.start(prior, states)
     training = data.where(~F.col("held_out"))
-    warm = training.orderBy(F.xxhash64("row"), "row").limit(WARM_TEXTS).select(F.slice("ids", 1, WINDOW).alias("ids")).toArrow().column("ids").combine_chunks()
-    if len(warm):
-        ids, starts, lengths = flat(warm)
-        share = len(ids) / max(1, n_all)
-        for _ in range(WARM_PASSES):
-            total = [0.0, 0.0, 0.0]
-            for _, at, n, fresh in chunks(ids, starts, lengths, None):
-                total = [x + y for x, y in zip(total, model.expected(ids, at, n, fresh), strict=True)]
-            model = Model.of_counts(*total, prior * max(share, 1e-3))
-        for _ in range(passes):
-            model = baum_welch_pass(training, model, prior)
+    for _ in range(passes if train_docs else 0):
+        model = baum_welch_pass(training, model, prior)
 
     known_class = np.concatenate([np.ones(size, np.int64), np.zeros(RARE, np.int64), [int(train_docs > 0)]])
 
@@ -276,7 +272,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
         for batch in batches:
             ids, starts, lengths = flat(batch.column(3))
             score = np.empty(len(starts))
-            for part, at, n, _ in chunks(ids, starts, lengths, None):
+            for part, at, n in lots(starts, lengths):
                 score[part] = model.log10(ids, at, n)
             sums = lambda x: np.add.reduceat(x[ids], starts) if len(starts) else np.empty(0, x.dtype)  # noqa: E731  no text is without its end
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths), pa.array(sums(known_class)), pa.array(sums(base10)), pa.array(score - sums(minus10))], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
