@@ -51,6 +51,7 @@ LOT_QUERIES, LOT_POSTINGS = 48, 2_000_000  # queries and postings that are worke
 MARGIN = 1e-4  # more than single precision loses in a cosine
 EVIDENCE = 3
 WORD = re.compile(r"\w+")
+KEPT = ("row", "place", "id", "digest", "toxic")
 
 
 def words_of(text: str) -> list[str]:
@@ -58,14 +59,14 @@ def words_of(text: str) -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column | None, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """place, id, digest, toxic, text of labelled documents; usable: a condition on the labels' ids."""
+    """row, place, id, digest, toxic, text of labelled documents; usable: a condition on the labels' ids."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.where(usable) if usable is not None else known
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
     known = known.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(most)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
-    return texts.join(F.broadcast(known), "id").select("place", "id", "digest", "toxic", "text")
+    return texts.join(F.broadcast(known), "id").select(F.monotonically_increasing_id().alias("row"), "place", "id", "digest", "toxic", "text")
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -74,24 +75,22 @@ def counted(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
-            columns = [*(batch.column(c) for c in ("place", "id", "digest", "toxic"))]
+            columns = [*(batch.column(c) for c in KEPT)]
             columns += [pa.array([len(c) for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["place", "id", "digest", "toxic", "size", "words", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEPT, "size", "words", "counts"])
 
-    fields = [rows.schema[c] for c in ("place", "id", "digest", "toxic")]
+    fields = [rows.schema[c] for c in KEPT]
     fields += [T.StructField("size", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
 def chosen_examples(rows: DataFrame, most: int, entries: int) -> pa.Table:
     """The examples in order of place: within both bounds, each text of an id once."""
-    every = cut(counted(rows), "toxicity-examples").dropDuplicates(["place", "digest"])
-    sizes = every.select("place", "digest", "size").orderBy("place", "digest").limit(most).toArrow()
+    every = cut(counted(rows), "toxicity-examples")
+    sizes = every.groupBy("place", "digest").agg(F.min(F.struct("row", "size")).alias("one")).orderBy("place", "digest").limit(most).select("one.*").toArrow()
     fit = int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy()), entries, side="right"))
-    if fit == 0:
-        return every.limit(0).toArrow()
-    last = F.struct(F.lit(sizes.column("place")[fit - 1].as_py()), F.lit(sizes.column("digest")[fit - 1].as_py()))
-    return every.where(F.struct("place", "digest") <= last).orderBy("place", "digest").toArrow()
+    keys = every.sparkSession.createDataFrame(sizes.slice(0, fit).select(["row"])) if fit else every.select("row").limit(0)
+    return every.join(F.broadcast(keys), "row").toArrow().sort_by([("place", "ascending"), ("digest", "ascending")])
 
 
 def document_frequencies(docs: DataFrame, words: pa.Array, text_col: str) -> tuple[np.ndarray, int]:
@@ -110,6 +109,7 @@ def document_frequencies(docs: DataFrame, words: pa.Array, text_col: str) -> tup
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     summed = texts.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     every = np.zeros(len(words) + 1, np.int64)
     every[summed.column("term").to_numpy()] = summed.column("n").to_numpy()
     return every[:-1], int(every[-1])
@@ -151,7 +151,7 @@ class BlockMaxIndex:
     """Unit vectors of examples, in blocks of BLOCK. `terms`, `weights`, `cuts` are their entries, example by example."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, digests: np.ndarray | None = None):
-        self.n, self.n_terms = len(vectors), n_terms
+        self.n, self.n_terms, self.query = len(vectors), n_terms, None
         self.cuts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
         self.terms = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int32)
         self.weights = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(float)
@@ -181,7 +181,7 @@ class BlockMaxIndex:
         return dense
 
     def __getstate__(self):
-        return self.__dict__ | {"ready": None}
+        return self.__dict__ | {"ready": None, "query": None}
 
     def prepared(self):
         """(place of a frequent term or -1, dense blocks, their largest weights, postings: cuts, examples, weights)."""
@@ -261,7 +261,7 @@ class BlockMaxIndex:
         found = np.flatnonzero((scores > 0) & (scores >= least - MARGIN))
         if not len(found):
             return found, np.empty(0)
-        if getattr(self, "query", None) is None:
+        if self.query is None:
             self.query = np.zeros(self.n_terms)
         self.query[terms] = weights
         lengths = np.diff(self.cuts)[found]
@@ -299,14 +299,35 @@ class Scorer:
     def __init__(self, words: pa.Array, factor: np.ndarray, ids: pa.Array, toxic: np.ndarray, digests: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int):
         self.words, self.factor, self.k = words, factor, k
         self.index = BlockMaxIndex([self.weights(t, c) for t, c in entries], len(words), digests)
+        order, counts = self.index.order, [c for _, c in entries]
+        found = np.concatenate([counts[i] for i in order.tolist()] or [np.empty(0)])
+        self.counts = found.astype(np.min_scalar_type(int(found.max(initial=0))))
         self.toxic = toxic[self.index.order]
         self.ids = ids.take(pa.array(self.index.order, pa.int64()))
         self.share = float((toxic.sum() + PRIOR_TOXIC) / (len(toxic) + PRIOR_ROWS))
         self.curve = (np.array([0.0, 1.0]), np.array([self.share, self.share]))
-        self.at = None
+        self.at = self.shared = None
 
     def __getstate__(self):
-        return self.__dict__ | {"at": None}
+        """What travels: counts in a small type; the weights are made of them again."""
+        index = self.index.__getstate__() | {"weights": None}
+        return self.__dict__ | {"at": None, "shared": None, "index": index}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.index = BlockMaxIndex.__new__(BlockMaxIndex)
+        self.index.__dict__.update(state["index"])
+        raw = (1 + np.log(self.counts.astype(float))) * self.factor[self.index.terms]
+        lengths = np.diff(self.index.cuts)
+        some = lengths > 0
+        norms = np.sqrt(np.add.reduceat(raw * raw, self.index.cuts[:-1][some])) if some.any() else np.empty(0)
+        self.index.weights = raw / np.repeat(norms, lengths[some])
+
+    def broadcast(self, spark):
+        """The examples, sent once for fitting and scoring; the curve travels with each job."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.factor[terms]
@@ -331,8 +352,9 @@ class Scorer:
             self.curve = monotone(np.array([v for v in votes if v is not None]), self.toxic[some])
         return self
 
-    def probability(self, raw: float | None) -> float:
-        return self.share if raw is None else float(np.interp(raw, *self.curve))
+
+def probability(raw: float | None, curve: tuple[np.ndarray, np.ndarray], share: float) -> float:
+    return share if raw is None else float(np.interp(raw, *curve))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, entries: int = ENTRIES, k: int = K) -> Scorer:
@@ -354,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     scorer = Scorer(words, factor, rows.column("id").combine_chunks(), toxic, rows.column("digest").to_numpy(), each, k)
     if not len(toxic):
         return scorer
-    shared = spark.sparkContext.broadcast(scorer)
+    shared = scorer.broadcast(spark)
 
     def run(batches):
         scorer = shared.value
@@ -374,19 +396,20 @@ def with_scores(docs: DataFrame, scorer: Scorer, text_col: str, with_evidence: b
     """row (a struct of the columns of `docs`), toxic_score, toxic_neighbours, toxic_nearest, toxic_evidence."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64(text).alias("digest"))
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    kind = pa.list_(pa.struct([("id", scorer.ids.type), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+    shared, curve, share = scorer.broadcast(docs.sparkSession), scorer.curve, scorer.share
+    ids = scorer.ids.type
+    kind = pa.list_(pa.struct([("id", ids), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
     def run(batches):
         scorer = shared.value
         for batch in batches:
             found = scorer.raw([scorer.vector(t) for t in batch.column(1).to_pylist()], batch.column(2).to_pylist())
-            columns = [batch.column(0), pa.array([scorer.probability(v) for *_, v in found], pa.float64()), pa.array([len(i) for i, *_ in found], pa.int64()), pa.array([float(c[0]) if len(c) else None for _, c, _ in found], pa.float64())]
+            columns = [batch.column(0), pa.array([probability(v, curve, share) for *_, v in found], pa.float64()), pa.array([len(i) for i, *_ in found], pa.int64()), pa.array([float(c[0]) if len(c) else None for _, c, _ in found], pa.float64())]
             top = [(i[:EVIDENCE], c[:EVIDENCE]) for i, c, _ in found] if with_evidence else [None] * len(found)
             columns.append(pa.array([t and [{"id": scorer.ids[e].as_py(), "cosine": x, "toxic": bool(scorer.toxic[e])} for e, x in zip(t[0].tolist(), t[1].tolist(), strict=True)] for t in top], kind))
             yield pa.RecordBatch.from_arrays(columns, names=["row", "toxic_score", "toxic_neighbours", "toxic_nearest", "toxic_evidence"])
 
-    id_kind = T.StructType([T.StructField("id", _spark_type(scorer.ids.type)), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
+    id_kind = T.StructType([T.StructField("id", _spark_type(ids)), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
     out = [source.schema["row"], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_neighbours", T.LongType()), T.StructField("toxic_nearest", T.DoubleType()), T.StructField("toxic_evidence", T.ArrayType(id_kind))]
     return source.mapInArrow(run, T.StructType(out))
 
