@@ -26,15 +26,72 @@ def halves(natural):
 def test_targets_are_met(spark):
     rows, labels = corpus()
     docs, marks = odd.documents(spark, rows), odd.labels(spark, labels)
-    rates, domains = mixing.document_rates(docs, marks, F.col("quality"), halves)
-    out = rates.collect()
-    assert domains == ["0", "1"]
-    totals = [sum(r["__tokens"] * r["__rate"] * r["__p"][d] for r in out) for d in (0, 1)]
-    tokens = sum(r["__tokens"] for r in out)
-    assert totals == pytest.approx([tokens / 2] * 2, rel=1e-3)
-    assert all(r["__rate"] >= 0 and abs(r["__copies"] - r["__rate"]) < 1 for r in out)
+    found = mixing.mixture(docs, marks, F.col("quality"), halves)
+    out = found.table.collect()
+    assert [d for d, *_ in found.report] == found.classifier.domains == ["0", "1"]
+    totals = [sum(r["tokens"] * r["rate"] * r["p"][d] for r in out) for d in (0, 1)]
+    tokens = sum(r["tokens"] for r in out)
+    assert totals == pytest.approx([tokens / 2] * 2, rel=1e-3) and totals == pytest.approx([r[3] for r in found.report])
+    assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in out)
     truth = {i: int(i % 4 != 0) for i, _ in rows}
-    assert sum((r["__p"][1] > 0.5) == bool(truth[r["doc_id"]]) for r in out) / len(out) > 0.95
+    assert sum((r["p"][1] > 0.5) == bool(truth[r["row"]["doc_id"]]) for r in out) / len(out) > 0.95
+    rows_, accuracy, loss = found.classifier.held_out
+    assert rows_ > 20 and accuracy > 0.9 and loss < 0.4
+
+
+def test_rates_have_a_bound_and_misses_are_told(spark):
+    rows, labels = corpus()
+    found = mixing.mixture(odd.documents(spark, rows), odd.labels(spark, labels), F.col("quality"), lambda n: {"0": 0.9, "1": 0.1}, total=3.0, most=2.0)
+    out = found.table.collect()
+    assert max(r["rate"] for r in out) <= 2.0 and max(r["copies"] for r in out) <= 2
+    (_, _, target, reached), _ = found.report
+    assert reached < 0.9 * target
+
+
+def plain_posterior(model, text):
+    """The classifier in plain Python, given its buckets."""
+    import math
+    import re
+
+    tokens = text.split()
+    terms = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if w]
+    n = max(1, len(text))
+    count = max(1, len(tokens))
+    x = [math.log1p(count), n / count, sum(not (c.isalnum() or c.isspace() or c in ".,;:!?'\"()-") for c in text) / n, sum(c in "0123456789" for c in text) / n, sum(c.isupper() for c in text) / n, len(set(terms)) / max(1, len(terms))]
+    return x, terms
+
+
+def test_query_like_brute_force(spark, sf):
+    """Features, posteriors, rates and copies of all documents of the smallest tables, outside Spark."""
+    import math
+
+    from tideglass.llm import queries
+
+    docs, labels = queries.language_and_quality(spark, sf)
+    found = mixing.mixture(docs, labels, F.col("domain"), queries.even_languages, keep=("doc_id", "source"), most=queries.MOST_COPIES)
+    model, texts = found.classifier, {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    every = sorted({t for text in texts.values() for t in plain_posterior(model, text)[1]})
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    power, factor = model.temper
+    want, totals = {}, [0.0] * len(model.domains)
+    for i, text in texts.items():
+        x, terms = plain_posterior(model, text)
+        logs = []
+        for d in range(len(model.domains)):
+            surface = model.priors[d] + sum(model.tables[d][j][sum(v > e for e in model.edges[j])] for j, v in enumerate(x))
+            logs.append(surface + sum(round(model.weights[d][bucket[w]], 4) for w in terms) * factor / max(1, len(terms)) ** power)
+        q = [math.exp(v - max(logs)) for v in logs]
+        want[i] = [v / sum(q) for v in q]
+    rows = {r["row"]["doc_id"]: r for r in found.table.collect()}
+    near = [max(abs(a - b) for a, b in zip(rows[i]["p"], want[i])) < 1e-3 for i in texts]
+    assert rows.keys() == texts.keys() and sum(near) >= 0.99 * len(near)
+    for r in rows.values():
+        totals = [t + r["tokens"] * r["rate"] * p * (r["tokens"] > 0) for t, p in zip(totals, r["p"])]
+        assert 0 <= r["rate"] <= queries.MOST_COPIES and abs(r["copies"] - r["rate"]) < 1
+    assert totals == pytest.approx([reached for *_, reached in found.report], rel=1e-6)
+    out = {r["doc_id"]: r for r in queries.op8_soft_membership_mixing(spark, sf).collect()}
+    assert out.keys() == texts.keys()
+    assert all(o["rate"] == pytest.approx(rows[i]["rate"], abs=1e-5) and o["n_tokens"] == len(texts[i].split()) and o["posterior"] == pytest.approx(max(rows[i]["p"]), abs=1e-5) for i, o in out.items())
 
 
 def test_like_plain_descent(spark):
@@ -60,6 +117,7 @@ def test_odd_rows(spark):
     docs = odd.odd_documents(spark)
     marks = odd.labels(spark, [(1, 1, 0), (1, 0, 0), (3, 0, 0), (7, None, None), (None, 1, 1), (11, 1, 0)])
     same = lambda natural: natural
+    assert mixing.mix(docs.withColumn("rate", F.lit("a")).withColumn("copies", F.lit("b")).withColumn("x", F.lit(1)), marks, F.col("quality"), same).first()["rate"] == "a"
     out = mixing.mix(docs, marks, F.col("quality"), same)
     assert out.columns == docs.columns and out.count() > 0
     assert mixing.mix(docs, odd.labels(spark, []), F.col("quality"), same).count() == docs.count()

@@ -1,115 +1,174 @@
 """Soft-membership mixing of a corpus to target weights, in DataFrame functions only.
 
-A labelled table gives some documents a domain. A naive Bayes classifier over binned features of the
-text (counted in SQL from at most LABELLED labelled rows: the bound of the fit) predicts for every
-document the posterior of each domain. Nonnegative rates r of documents are then fitted by projected
-gradient least squares, so that the expected tokens of each domain, sum of r * tokens * posterior,
-match the target: each step aggregates the domains' totals over all documents, moves every rate
-along the gradient (per token, and scaled by the Gram matrix of the free documents), and projects it
-to r >= 0. All starts at rate 1, so tokens keep as close to it as the targets allow. What a step broadcasts is
-one number per domain, and a document's rate is a closed expression of its own features.
-
-A rate of 2.3 stands for two copies and a third with chance 0.3, decided by a hash of id and text.
+A labelled table gives some documents a domain. A naive Bayes classifier predicts for every document the
+posterior of each domain: from its words, hashed to BUCKETS, and from bins of FEATURES of its surface,
+both counted in SQL. It learns from at most LABELLED labelled rows (the bound of the fit); one in FOLDS
+of them is held out and chooses how far the words' evidence counts: it grows with a power of the number of
+words, as words of one text are not independent. The same rows give the classifier's held-out accuracy
+and loss. What it sends to workers is bounded by BUCKETS numbers per domain.
+
+Nonnegative rates r of documents, `most` at most, are then fitted by projected gradient least squares, so
+that the expected tokens of each domain, sum of r * tokens * posterior, match the target: each step
+aggregates the domains' totals over all documents, moves every rate along the gradient (per token, and
+scaled by the Gram matrix of the free documents), and projects it. All starts at rate 1, so tokens keep as
+close to it as the targets allow. What a step broadcasts is one number per domain, and a document's rate
+is a closed expression of its own posteriors. The report tells each domain's natural, target and reached
+tokens, so targets that the documents cannot meet are seen.
+
+A rate of 2.3 stands for two copies and a third with chance 0.3, decided by a hash of id and text. Texts are
+read once: rows are written to the shared folder with their posteriors, and copies come from there.
 
 Defined results: null or empty text has no tokens, rate 1 and one copy in `mix`; labels with a null
 id or domain are ignored; without labels all documents stay as they are; domains whose target is
-missing get 0; rows repeat and ids may be null; extra columns stay in `mix`; an empty table gives an
-empty result.
+missing get 0; rows repeat and ids may be null; extra columns stay in `mix`, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import cut
+from tideglass.llm.spans import let
 
-LABELLED, BINS, STEPS, CLOSE = 20_000, 12, 25, 1e-4
-FEATURES = ("length", "word", "symbols", "digits", "upper", "umlauts", "accents", "tildes", "the", "der", "de", "que")
+LABELLED, BINS, BUCKETS, FOLDS = 20_000, 12, 1 << 14, 5
+STEPS, CLOSE = 60, 1e-4
+SMOOTH = 0.1  # added to each count of a word
+FEATURES = ("length", "word", "symbols", "digits", "upper", "distinct")
+#: (power of the number of words, factor): how the evidence of the words may count.
+TEMPERS = ((0.0, 1.0), (0.0, 0.3), (0.5, 3.0), (0.5, 1.0), (0.5, 0.3), (1.0, 30.0), (1.0, 10.0), (1.0, 3.0), (1.0, 0.0))
 
 
 def add_features(df: DataFrame, text: str) -> DataFrame:
-    """Adds `__tokens` and `__x`, an array of doubles in the order of FEATURES."""
+    """Adds `tokens`, `x` (doubles in the order of FEATURES) and `words` (a bucket per word)."""
     t = F.col(text)
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
 
-    def lost(pattern: str) -> Column:
+    def share(pattern: str) -> Column:
         return (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
 
-    def word(w: str) -> Column:
-        return (F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / n
-
-    df = df.withColumn("__tokens", F.size(F.array_remove(F.split(t, r"\s+"), "")))
-    count = F.greatest("__tokens", F.lit(1)).cast("double")
-    x = [F.log1p(count), n / count, lost(r"[#$%&*|~^<>=!@_{}\[\]\\]"), lost("[0-9]"), lost("[A-Z]"), lost("[äöüßÄÖÜ]"), lost("[éèêçàùëïÉÈÊ]"), lost("[ñóíáúÑÓÍ]"), word("the"), word("der"), word("de"), word("que")]
-    return df.withColumn("__x", F.array(*x))
+    df = df.withColumn("tokens", F.size(F.array_remove(F.split(t, r"\s+"), "")))
+    df = df.withColumn("terms", F.array_remove(F.split(F.lower(t), r"[\s\p{Punct}]+"), ""))
+    count = F.greatest("tokens", F.lit(1)).cast("double")
+    distinct = F.size(F.array_distinct("terms")) / F.greatest(F.size("terms"), F.lit(1)).cast("double")
+    x = [F.log1p(count), n / count, share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]+"), share("[0-9]+"), share(r"\p{Lu}+"), distinct]
+    words = F.transform("terms", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return df.withColumn("x", F.array(*x)).withColumn("words", words).drop("terms")
 
 
+@dataclass
 class Classifier:
-    """Naive Bayes over bins: log priors per domain, edges per feature, log probabilities per domain, feature and bin."""
+    """Naive Bayes: per domain a log prior, log probabilities per feature and bin (edges per feature), log
+    weights per bucket, and the temper; held_out: rows, accuracy and loss of what was held out."""
+
+    domains: list[str]
+    priors: list[float]
+    edges: list[list[float]]
+    tables: list[list[list[float]]]
+    weights: list[list[float]]
+    temper: tuple[float, float] = (0.0, 1.0)
+    held_out: tuple[int, float, float] = (0, float("nan"), float("nan"))
+
+    def surface(self, x: Column) -> list[Column]:
+        """Log prior and log probability of the bins, per domain."""
+        bins = [sum((F.when(x[j] > e, 1).otherwise(0) for e in edges), F.lit(0)) for j, edges in enumerate(self.edges)]
+        return [F.lit(prior) + sum((F.get(F.array(*(F.lit(v) for v in row)), bins[j]) for j, row in enumerate(table)), F.lit(0.0)) for table, prior in zip(self.tables, self.priors, strict=True)]
+
+    def evidence(self, words: Column) -> list[Column]:
+        """Sum of the words' weights, per domain."""
+
+        def total(weights: list[float]) -> Column:
+            table = F.split(F.lit(",".join(f"{v:.4f}" for v in weights)), ",").cast("array<double>")
+            return F.aggregate(words, F.lit(0.0), lambda s, b: s + F.get(table, b))
+
+        return [total(w) for w in self.weights]
 
-    def __init__(self, domains: list[str], priors: list[float], edges: list[list[float]], tables: list[list[list[float]]]):
-        self.domains, self.priors, self.edges, self.tables = domains, priors, edges, tables
+    def posteriors(self, surface: Column, evidence: Column, n_words: Column, temper: tuple[float, float] | None = None) -> Column:
+        """array<double> of the domains' posteriors, from arrays of surface and evidence."""
+        power, factor = temper or self.temper
+        scale = F.lit(factor) / F.pow(F.greatest(n_words, F.lit(1)).cast("double"), F.lit(power))
+        logs = F.zip_with(surface, evidence, lambda a, b: a + b * scale)
 
-    def bins(self, x: Column) -> Column:
-        """array<int>: the bin of each feature."""
-        return F.array(*(sum((F.when(x[j] > e, 1).otherwise(0) for e in edges), F.lit(0)) for j, edges in enumerate(self.edges)))
+        def shares(raw: Column) -> Column:
+            return let(F.aggregate(raw, F.lit(0.0), lambda s, q: s + q), lambda total: F.transform(raw, lambda v: v / total))
 
-    def likelihoods(self, bins: Column) -> Column:
-        """array<double>: each domain's posterior times a common factor."""
-        logs = []
-        for table, prior in zip(self.tables, self.priors, strict=True):
-            total = F.lit(prior)
-            for j, row in enumerate(table):
-                total = total + F.get(F.array(*(F.lit(v) for v in row)), bins[j])
-            logs.append(total)
-        highest = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        return F.array(*(F.exp(v - highest) for v in logs))
+        return let(logs, lambda x: let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp(v - top)), shares)))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, bins: int = BINS) -> Classifier | None:
-    """domain: a column of `labels`."""
-    known = labels.select(F.col(id_col).alias("__id"), domain.cast("string").alias("__domain")).where("__id is not null and __domain is not null")
-    known = known.groupBy("__id").agg(F.max("__domain").alias("__domain")).orderBy(F.xxhash64("__id"), "__id").limit(labelled)
-    source = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    rows = add_features(source.join(F.broadcast(known), "__id"), "__text").select("__domain", "__x")
-    rows = cut(rows, "mixing-labelled")
-    edges = []
-    found = rows.agg(*(F.percentile_approx(F.col("__x")[j], [k / bins for k in range(1, bins)], 2000).alias(f"e{j}") for j in range(len(FEATURES)))).first()
-    for j in range(len(FEATURES)):
-        edges.append(sorted(set(found[j] or [])))
-    sizes = {r["__domain"]: r["count"] for r in rows.groupBy("__domain").count().collect()}
+    """domain: a column of `labels`; their number is expected to be small."""
+    known = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).where("id is not null and domain is not null")
+    known = known.groupBy("id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(labelled)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = add_features(source.join(F.broadcast(known), "id"), "text")
+    rows = cut(rows.select("domain", "x", "words", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)) == 0).alias("held")), "mixing-labelled")
+    sizes = {r["domain"]: (r["n"], r["train"]) for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("held")).alias("train")).collect()}
     if not sizes:
         return None
-    domains = sorted(sizes)
-    total = sum(sizes.values())
-    binned = rows.select("__domain", F.posexplode(F.array(*(sum((F.when(F.col("__x")[j] > e, 1).otherwise(0) for e in edges[j]), F.lit(0)) for j in range(len(FEATURES))))).alias("j", "b"))
-    tables = [[[math.log(1.0 / (sizes[d] + len(edges[j]) + 1))] * (len(edges[j]) + 1) for j in range(len(FEATURES))] for d in domains]
-    for r in binned.groupBy("__domain", "j", "b").count().collect():
-        d = domains.index(r["__domain"])
-        tables[d][r["j"]][r["b"]] = math.log((r["count"] + 1.0) / (sizes[r["__domain"]] + len(edges[r["j"]]) + 1))
-    return Classifier(domains, [math.log(sizes[d] / total) for d in domains], edges, tables)
-
-
-def add_posteriors(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """Adds `__tokens` and `__p`, the normalised posteriors."""
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = add_features(df, "__text").withColumn("__b", classifier.bins(F.col("__x"))).withColumn("__q", classifier.likelihoods(F.col("__b")))
-    total = sum((F.col("__q")[d] for d in range(len(classifier.domains))), F.lit(0.0))
-    return df.withColumn("__p", F.transform("__q", lambda v: v / total)).drop("__q", "__b", "__x", "__text")
-
-
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given gradient steps: r <- max(0, r - g . p), from r = 1."""
-    r = F.lit(1.0)
-    for g in steps:
+    domains, total = sorted(sizes), sum(n for n, _ in sizes.values())
+    # a small table is learned from as a whole
+    folds = min(t for _, t in sizes.values()) > 0 and any(n > t for n, t in sizes.values())
+    train, held = (rows.where(~F.col("held")), rows.where("held")) if folds else (rows, rows.limit(0))
+    counts = {d: t if folds else n for d, (n, t) in sizes.items()}
+    found = train.agg(*(F.percentile_approx(F.col("x")[j], [k / bins for k in range(1, bins)], 2000).alias(f"e{j}") for j in range(len(FEATURES)))).first()
+    edges = [sorted(set(found[j] or [])) for j in range(len(FEATURES))]
+    binned = train.select("domain", F.posexplode(F.array(*(sum((F.when(F.col("x")[j] > e, 1).otherwise(0) for e in edges[j]), F.lit(0)) for j in range(len(FEATURES))))).alias("j", "b"))
+    tables = [[[math.log(1.0 / (counts[d] + len(e) + 1))] * (len(e) + 1) for e in edges] for d in domains]
+    for r in binned.groupBy("domain", "j", "b").count().collect():
+        tables[domains.index(r["domain"])][r["j"]][r["b"]] = math.log((r["count"] + 1.0) / (counts[r["domain"]] + len(edges[r["j"]]) + 1))
+    # at most BUCKETS counts per domain
+    seen = [[0] * BUCKETS for _ in domains]
+    for r in train.select("domain", F.explode("words").alias("w")).groupBy("domain", "w").count().collect():
+        seen[domains.index(r["domain"])][r["w"]] = r["count"]
+    logs = [[math.log((c + SMOOTH) / (sum(row) + SMOOTH * BUCKETS)) for c in row] for row in seen]
+    means = [sum(column) / len(domains) for column in zip(*logs, strict=True)]
+    weights = [[v - m for v, m in zip(row, means, strict=True)] for row in logs]
+    model = Classifier(domains, [math.log(sizes[d][0] / total) for d in domains], edges, tables, weights)
+    return tempered(model, held) if folds else model
+
+
+def tempered(model: Classifier, held: DataFrame) -> Classifier:
+    """With the temper of the least loss on held-out rows; all are judged in one pass."""
+    at = F.array_position(F.array(*(F.lit(d) for d in model.domains)), F.col("domain")).cast("int") - 1
+    rows = held.select(F.array(*model.surface(F.col("x"))).alias("s"), F.array(*model.evidence(F.col("words"))).alias("e"), F.size("words").alias("n"), at.alias("at"))
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for i, temper in enumerate(TEMPERS):
+        p = model.posteriors(F.col("s"), F.col("e"), F.col("n"), temper)
+        rows = rows.withColumn(f"p{i}", p)
+        sums.append(F.avg(-F.log(F.greatest(F.get(f"p{i}", F.col("at")), F.lit(1e-9)))).alias(f"loss{i}"))
+        sums.append(F.avg((F.get(f"p{i}", F.col("at")) == F.array_max(f"p{i}")).cast("double")).alias(f"right{i}"))
+    row = rows.agg(*sums).first()
+    best = min(range(len(TEMPERS)), key=lambda i: (row[f"loss{i}"], i))
+    model.temper, model.held_out = TEMPERS[best], (row["rows"], row[f"right{best}"], row[f"loss{best}"])
+    return model
+
+
+def add_posteriors(df: DataFrame, model: Classifier, text: str) -> DataFrame:
+    """Adds `tokens` and `p`, the posteriors; takes the column `text` away."""
+    df = add_features(df, text).drop(text)
+    df = df.withColumn("s", F.array(*model.surface(F.col("x")))).withColumn("e", F.array(*model.evidence(F.col("words")))).withColumn("n", F.size("words"))
+    return df.withColumn("p", model.posteriors(F.col("s"), F.col("e"), F.col("n"))).drop("x", "words", "s", "e", "n")
+
+
+def rate(p: Column, steps: list[list[float]], most: float | None = None) -> Column:
+    """The rate after the given gradient steps: r <- r - g . p, projected, from r = 1."""
+    if not steps:
+        return F.lit(1.0)
+    history = F.split(F.lit(";".join(",".join(map(repr, g)) for g in steps)), ";")
+    history = F.transform(history, lambda g: F.split(g, ",").cast("array<double>"))
+
+    def step(r: Column, g: Column) -> Column:
         dot = F.lit(0.0)
-        for d, v in enumerate(g):
-            dot = dot + F.lit(v) * p[d]
+        for d in range(len(steps[0])):
+            dot = dot + g[d] * p[d]
         r = F.greatest(F.lit(0.0), r - dot)
-    return r
+        return r if most is None else F.least(F.lit(float(most)), r)
+
+    return F.aggregate(history, F.lit(1.0), step)
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -126,74 +185,72 @@ def natural_totals(table: DataFrame, n: int) -> list[float]:
     return [float(v or 0.0) for v in row]
 
 
-def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], list[float]]:
+def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE, most: float | None = None) -> tuple[list[list[float]], list[float]]:
     """(steps, totals reached). table: tokens (double), p (array). Projected gradient, scaled by the Gram
-    matrix of documents whose rate is above zero; each step is one aggregation of D + D * D / 2 sums."""
+    matrix of documents whose rate is free; each step is one aggregation of D + D * D / 2 sums. Ends when the
+    targets are met, when a step no longer comes nearer, or after `steps`."""
     n = len(targets)
     history: list[list[float]] = []
+    best: tuple[float, int, list[float]] = (math.inf, 0, [0.0] * n)
     scale = max(sum(targets), 1.0)
-    current = table.withColumn("r", F.lit(1.0))
-    totals = [0.0] * n
     for i in range(steps + 1):
-        free = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0.0)
+        current = table.withColumn("r", rate(F.col("p"), history, most))
+        inside = (F.col("r") > 0) if most is None else (F.col("r") > 0) & (F.col("r") < most)
+        free = F.when(inside, F.col("tokens")).otherwise(0.0)
         pairs = [(d, e) for d in range(n) for e in range(d, n)]
         row = current.agg(*(F.sum(F.col("r") * F.col("tokens") * F.col("p")[d]) for d in range(n)), *(F.sum(free * F.col("p")[d] * F.col("p")[e]) for d, e in pairs)).first()
         totals = [float(v or 0.0) for v in row[:n]]
         rest = [s - t for s, t in zip(totals, targets, strict=True)]
-        if i == steps or max(map(abs, rest), default=0.0) <= close * scale:
+        loss = sum(v * v for v in rest)
+        if loss < best[0] * (1 - 1e-6):
+            best = (loss, i, totals)
+        if i == steps or i > best[1] + 3 or max(map(abs, rest), default=0.0) <= close * scale:
             break
         gram = [[0.0] * n for _ in range(n)]
         for (d, e), v in zip(pairs, row[n:], strict=True):
             gram[d][e] = gram[e][d] = float(v or 0.0)
+        if not any(gram[d][d] for d in range(n)):
+            break
         history.append(solve(gram, rest))
-        current = table.withColumn("r", rate(F.col("p"), history))
-    return history, totals
-
-
-def with_chance(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds `__chance`, a number in [0, 1) that id and text fix."""
-    return docs.withColumn("__chance", F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30))
-
-
-def mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()):
-    """(classifier, steps, table): weights maps the natural token shares {domain: share} to target weights,
-    which are then scaled to sum to `total` times the corpus' tokens. The table, written to the shared
-    folder, has the columns of `keep` with `__tokens`, `__p` and `__chance` of every document."""
-    classifier = fit_classifier(docs, labels, domain, id_col, text_col)
-    if classifier is None:
-        return None, [], None
-    rows = add_posteriors(with_chance(docs.select(*{id_col: 0, text_col: 0, **dict.fromkeys(keep, 0)}), id_col, text_col), classifier, text_col)
-    table = cut(rows.select(*keep, "__tokens", "__p", "__chance"), "mixing-table")
-    sums = table.where("__tokens > 0").select(F.col("__tokens").cast("double").alias("tokens"), F.col("__p").alias("p"))
-    natural = natural_totals(sums, len(classifier.domains))
+    return history[: best[1]], best[2]
+
+
+@dataclass
+class Mixture:
+    """table: row (a struct of the documents' columns), tokens, p, rate, copies; report: (domain, natural,
+    target, reached tokens); classifier: None without labels."""
+
+    table: DataFrame
+    report: list[tuple[str, float, float, float]]
+    classifier: Classifier | None
+
+
+def mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, most: float | None = None) -> Mixture:
+    """weights maps the natural token shares {domain: share} to target weights, which are then scaled to sum
+    to `total` times the corpus' tokens; keep: the columns that `row` has, all by default; most: the highest rate."""
+    columns = docs.columns if keep is None else keep
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), chance.alias("chance"), text.alias("text"))
+    model = fit_classifier(docs, labels, domain, id_col, text_col)
+    if model is None:
+        tokens = F.size(F.array_remove(F.split("text", r"\s+"), ""))
+        return Mixture(rows.select("row", tokens.alias("tokens"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), [], None)
+    table = cut(add_posteriors(rows, model, "text").select("row", "tokens", "p", "chance"), "mixing-table")
+    sums = table.where("tokens > 0").select(F.col("tokens").cast("double").alias("tokens"), "p")
+    natural = natural_totals(sums, len(model.domains))
     everything = sum(natural)
-    wanted = weights({d: v / max(everything, 1.0) for d, v in zip(classifier.domains, natural, strict=True)})
-    wanted = [float(wanted.get(d, 0.0)) for d in classifier.domains]
+    wanted = weights({d: v / max(everything, 1.0) for d, v in zip(model.domains, natural, strict=True)})
+    wanted = [float(wanted.get(d, 0.0)) for d in model.domains]
     targets = [w / max(sum(wanted), 1e-12) * total * everything for w in wanted]
-    steps, _ = fit_rates(sums, targets)
-    return classifier, steps, table
-
-
-def add_copies(df: DataFrame, steps: list[list[float]]) -> DataFrame:
-    """Adds `__rate` and `__copies` from `__p` and `__chance`."""
-    df = df.withColumn("__rate", rate(F.col("__p"), steps))
-    whole = F.floor("__rate")
-    return df.withColumn("__copies", (whole + F.when(F.col("__chance") < F.col("__rate") - whole, 1).otherwise(0)).cast("int"))
-
-
-def document_rates(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, list[str]]:
-    """(the columns of `keep` with `__tokens`, `__p`, `__rate`, `__copies`; the domains in the order of `__p`)."""
-    classifier, steps, table = mixture(docs, labels, domain, weights, total, id_col, text_col, keep)
-    if classifier is None:
-        words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+"), ""))
-        return docs.select(*keep, words.alias("__tokens"), F.array().cast("array<double>").alias("__p"), F.lit(1.0).alias("__rate"), F.lit(1).alias("__copies")), []
-    return add_copies(table, steps).drop("__chance"), classifier.domains
+    steps, reached = fit_rates(sums, targets, most=most)
+    rated = table.withColumn("rate", F.when(F.col("tokens") > 0, rate(F.col("p"), steps, most)).otherwise(1.0))
+    whole = F.floor("rate")
+    copies = (whole + F.when(F.col("chance") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    return Mixture(rated.withColumn("copies", copies).drop("chance"), list(zip(model.domains, natural, targets, reached, strict=True)), model)
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights, total: float = 1.0, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
     """The rows of `docs`, each as many times as its rate stands for."""
-    classifier, steps, _ = mixture(docs, labels, domain, weights, total, id_col, text_col)
-    if classifier is None:
-        return docs
-    df = add_copies(add_posteriors(with_chance(docs, id_col, text_col), classifier, text_col), steps)
-    return df.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    found = mixture(docs, labels, domain, weights, total, id_col, text_col, most=most)
+    return found.table.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

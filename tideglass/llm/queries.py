@@ -92,14 +92,23 @@ def even_languages(natural):
     return {d: (0.9 if d.endswith(":1") else 0.1) / len(languages) for d in natural}
 
 
+#: No document is repeated more often than this.
+MOST_COPIES = 10
+
+
 def op8_soft_membership_mixing(spark, sf_dir):
-    from tideglass.llm.mixing import document_rates
+    from tideglass.llm.mixing import mixture
 
     docs, labels = language_and_quality(spark, sf_dir)
-    rows, domains = document_rates(docs, labels, F.col("domain"), even_languages, keep=("doc_id", "source"))
-    names = F.array(*(F.lit(d) for d in domains)) if domains else F.array(F.lit(None).cast("string"))
-    best = F.array_max("__p")
-    return rows.select("doc_id", "source", F.col("__tokens").cast("bigint").alias("n_tokens"), F.get(names, F.greatest(F.array_position("__p", best), F.lit(1)).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").cast("bigint").alias("copies"))
+    found = mixture(docs, labels, F.col("domain"), even_languages, keep=("doc_id", "source"), most=MOST_COPIES)
+    names = F.array(*(F.lit(d) for d, *_ in found.report)) if found.report else F.array(F.lit(None).cast("string"))
+    target, reached = (F.array(*(F.lit(round(r[i])).cast("bigint") for r in found.report)) if found.report else F.array(F.lit(None).cast("bigint")) for i in (2, 3))
+    best = F.array_max("p")
+    at = F.greatest(F.array_position("p", best), F.lit(1)).cast("int") - 1
+    return found.table.select(
+        "row.doc_id", "row.source", F.col("tokens").cast("bigint").alias("n_tokens"), F.get(names, at).alias("domain"), F.round(best, 6).alias("posterior"),
+        F.round("rate", 6).alias("rate"), F.col("copies").cast("bigint").alias("copies"), F.get(target, at).alias("domain_target"), F.get(reached, at).alias("domain_reached"),
+    )
 
 
 def op10_forest_secret_scan(spark, sf_dir):
