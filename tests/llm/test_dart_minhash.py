@@ -66,7 +66,10 @@ def test_odd_rows(spark):
     assert dm.near_duplicate_classes(odd.empty_documents(spark)).count() == 0
 
 
-def test_families_like_brute_force(spark):
+@pytest.mark.parametrize(("lot", "block"), [(4096, 4096), (3, 7)])
+def test_families_like_brute_force(spark, monkeypatch, lot, block):
+    monkeypatch.setattr(dm, "LOT", lot)
+    monkeypatch.setattr(dm, "BLOCK", block)
     rng = random.Random(3)
     rows = []
     for family in range(4):
@@ -81,6 +84,28 @@ def test_families_like_brute_force(spark):
     assert classes(odd.documents(spark, rows)) == sorted(brute(rows))
 
 
+def test_one_bucket_of_many_members(spark, monkeypatch):
+    """5,000 different texts in one bucket: six blocks meet, and the planted pairs are found, no others."""
+    monkeypatch.setattr(dm, "BLOCK", 900)
+    monkeypatch.setattr(dm, "text_buckets", lambda texts, hashes, bands, rows, size: [np.array([7], np.int64)] * len(texts))
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(12))) for i in range(5_000)]
+    pairs = {i: 4_999 - i for i in range(30)}
+    for i, j in pairs.items():
+        words = rows[i][1].split() * 4
+        rows[i], rows[j] = (i, " ".join(words)), (j, " ".join([*words, "end"]))
+    found = dm.near_duplicate_classes(odd.documents(spark, rows)).where("doc_id != class_id").collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {j: i for i, j in pairs.items()}
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = odd.odd_documents(spark).withColumn("at", F.lit("mine")).withColumn("lot", F.lit(1)).withColumn("id", F.lit("x"))
+    out = dm.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and {r["at"] for r in out.collect()} == {"mine"}
+
+
 def test_table_like_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

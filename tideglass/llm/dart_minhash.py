@@ -12,12 +12,13 @@ with probability equal to their weighted Jaccard similarity (Christiani, DartMin
 Classes are the components of the graph of links: pairs of texts that share a band and whose exact
 similarity (weighted, or of the plain sets) reaches the threshold. No pairs are listed within a
 group: equal texts are one node, and each bucket first links its members to one centre, the member
-that shares most buckets with others and so stands in the middle of its group. Only where that
-leaves a bucket's members in different classes do they meet each other, and a pair of them leaves
-the join once, at its first common band, and only if its packed sketches (four bits of each of SKETCH
-coordinates) agree as a pair at the threshold would with all but 3 in a million chance. A text that
-repeats a shingle has bands and a sketch of its plain set as well, and either measure's agreement
-makes a pair a candidate.
+that shares most buckets with others and so stands in the middle of its group; a centre's shingles go to
+lots of LOT members, so a large group is many tasks. Only where that leaves a bucket's members in
+different classes do they meet each other: in blocks of BLOCK members, a task per two blocks, so no
+bucket is one task's work. A pair of them leaves the join once, at its first common band, and only if its
+packed sketches (four bits of each of SKETCH coordinates) agree as a pair at the threshold would with all
+but 3 in a million chance. A text that repeats a shingle has bands and a sketch of its plain set as
+well, and either measure's agreement makes a pair a candidate.
 
 Defined results: null text counts as empty; all empty texts are one class; a text of under five
 words is one element; a null id stays null and a class of null ids only has a null class id;
@@ -47,6 +48,8 @@ U64 = np.uint64
 GOLD, M1, M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 MASK = 2**64 - 1
 NO_WORDS = U64(0x243F6A8885A308D3)
+#: Members of a centre that one task compares with it; members of a split bucket that meet in one task.
+LOT, BLOCK = 4096, 4096
 #: Cells that one pass of darts holds in memory.
 CELLS = 1_500_000
 
@@ -269,30 +272,10 @@ def sketches_differ(a: Column, b: Column, longs: int) -> Column:
     return total
 
 
-def packed(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 coordinates to a long."""
-    n, k = signature.shape
-    nibbles = np.zeros((n, -(-k // 16) * 16), U64)
-    # a dart's coordinate fixes the low bits of its hash
-    nibbles[:, :k] = (signature >> U64(40)) & U64(15)
-    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=U64) * U64(4)), axis=2).view(np.int64)
-
-
-def least_agreement(threshold: float, k: int, deviations: float = 4.5) -> int:
-    """Agreeing nibbles that a pair at the threshold has, but for a chance of 3 in a million."""
-    p = threshold + (1 - threshold) / 16
-    return int(np.floor(k * p - deviations * np.sqrt(k * p * (1 - p))))
-
-
-def sketches_differ(a: Column, b: Column, longs: int) -> Column:
-    """Number of nibbles in which two packed sketches differ."""
-    total = F.lit(0)
-    for i in range(longs):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
+def sketches_agree(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two packed sketches agree as a pair at the threshold would; most others fail on the first quarter."""
+    tests = [sketches_differ(a, b, k // 16) <= k - least_agreement(threshold, k) for k in (SKETCH // 4, SKETCH)]
+    return tests[0] & tests[1]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -333,21 +316,39 @@ def sketched(texts: DataFrame, coordinates: int, size: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, sketch array<bigint>, plain array<bigint>")
 
 
+def shingled(texts: DataFrame, size: int) -> DataFrame:
+    """key and the sorted hashes of all shingles of texts (key, text)."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingles(words_of(t), hashes, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            at = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int64)
+            values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(at), values).cast(pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, shingles array<bigint>")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar enough."""
+    """The pairs (a, b) of keys whose texts are similar enough. A centre b comes with its shingles, once for
+    each lot of LOT members, so the members of a large group are dealt to many tasks."""
+    lots = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    wanted = texts.join(lots.select(F.col("b").alias("key")), "key", "left_semi")
+    centres = shingled(wanted, size).withColumnRenamed("key", "b").join(lots, "b").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("b", "lot", F.col("shingles").alias("centre"))
+    dealt = pairs.join(lots, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("lot"))
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = dealt.join(left, "a").join(centres.hint("merge"), ["b", "lot"]).select("a", "b", "text_a", "centre")
 
     def run(batches):
         hashes, last, last_b = WordHashes(), None, None
         for batch in batches:
-            a, b, text_a, text_b = batch.columns
+            a, b, text_a, centre = batch.columns
             ok = []
             for i in range(batch.num_rows):
-                # rows come sorted by b from the join: its shingles serve many rows
+                # rows come sorted by centre from the join
                 if (k := b[i].as_py()) != last_b:
-                    last_b, last = k, shingles(words_of(text_b[i].as_py()), hashes, size)
+                    last_b, last = k, centre[i].values.to_numpy().view(U64)
                 ok.append(similarity(shingles(words_of(text_a[i].as_py()), hashes, size), last) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -370,6 +371,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def meeting(members: DataFrame, side: str, at: Column, others: Column) -> DataFrame:
+    """One side of the pairs of a bucket's blocks (low, high): each member goes to every pair of its block once."""
+    rows = members.withColumn("other", F.explode(others))
+    return rows.select("bucket", at.alias("at"), F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "bands", "sketch", "plain")))
+
+
 def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of all rows, and (key, winner) of all texts: winner is the least (doc_id, key) of the class."""
     source = keyed(docs, id_col, text_col)
@@ -391,19 +398,20 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = cut(verified(pairs, texts, threshold, size), "edges")
     labels = components(edges, "first")
 
-    # members of buckets that span classes meet each other
+    # members of buckets that span classes meet each other, block by block
     of = members.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-    split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("bucket")
-    apart = cut(of.join(split, "bucket", "left_semi"), "apart")
+    split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("p != q").select("bucket", "blocks")
+    apart = cut(of.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "apart")
     sketches = cut(sketched(texts.join(apart.select("key").distinct(), "key"), SKETCH, size), "sketches")
-    apart = apart.join(crowd.select("key", "bands").join(sketches, "key"), "key")
-    one, two = (apart.select(F.col("bucket").alias(f"bucket_{x}"), F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("plain").alias(f"plain_{x}")) for x in "ab")
-    most = SKETCH - least_agreement(threshold, SKETCH)
-    alike = sketches_differ(F.col("sketch_a"), F.col("sketch_b"), SKETCH // 16) <= most
+    signed_ = cut(apart.join(crowd.select("key", "bands").join(sketches, "key"), "key"), "meeting")
+    one = meeting(signed_, "a", F.struct(F.col("block").alias("low"), F.col("other").alias("high")), F.sequence(F.col("block"), F.col("blocks") - 1))
+    two = meeting(signed_, "b", F.struct(F.col("other").alias("low"), F.col("block").alias("high")), F.sequence(F.lit(0), F.col("block")))
     repeats = F.col("plain_a").isNotNull() | F.col("plain_b").isNotNull()
-    alike |= repeats & (sketches_differ(F.coalesce("plain_a", "sketch_a"), F.coalesce("plain_b", "sketch_b"), SKETCH // 16) <= most)
-    first = F.expr("bucket_a = element_at(array_intersect(bands_a, bands_b), 1)")
-    met = one.join(two, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("label_a") < F.col("label_b")) & alike & first).select("a", "b")
+    alike = sketches_agree(F.col("sketch_a"), F.col("sketch_b"), threshold) | (repeats & sketches_agree(F.coalesce("plain_a", "sketch_a"), F.coalesce("plain_b", "sketch_b"), threshold))
+    first = F.expr("bucket = element_at(array_intersect(bands_a, bands_b), 1)")
+    # within one block each pair stands twice
+    order = F.expr("at.low < at.high OR a < b")
+    met = one.join(two.hint("merge"), ["bucket", "at"]).where(order & (F.col("label_a") != F.col("label_b")) & alike & first).select("a", "b")
     more = cut(verified(met, texts, threshold, size), "edges")
     if not more.isEmpty():
         labels = components(edges.union(more), "next")
@@ -422,7 +430,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that stay: one of each class, the one with the least id."""
     _, found = classes_of_texts(docs, id_col, text_col, threshold, bands, rows, size)
-    stay = found.where("key = winner.key").select(F.col("winner.doc_id").alias("__at"), F.col("key").alias("__want"))
+    stay = found.where("key = winner.key").select(F.col("winner.doc_id").alias("at"), F.col("key").alias("want"))
     key = F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")))
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__at"))).where(key == F.col("__want"))
-    return kept.dropDuplicates(["__at", "__want"]).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("at"))).where("key = want")
+    return kept.dropDuplicates(["at", "want"]).select("row.*")
