@@ -65,3 +65,15 @@ def test_abbreviated_counts(spark):
     rows = [("1.2K", 1200), ("1,234", 1234), ("3M", 3000000), ("1.2.3", 0), ("x", 0), (None, 0), ("", 0)]
     df = spark.createDataFrame(rows, "t string, want long").withColumn("got", abbreviated_count(F.col("t")))
     assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_every_term_with_negations_near_and_far(spark):
+    """Each of the terms, alone, negated at distances one to four, twice in a row, and in one long post."""
+    texts = []
+    for t in lx.LEXICON:
+        texts += [f"x {t} y", f"not {t}", f"never a {t}", f"don't a b {t}!", f"no a b c {t}", f"{t} {t}", f"nahi {t.upper()}"]
+    texts.append(" and not ".join(list(lx.LEXICON) * 20))
+    rows = lx.add_score(spark.createDataFrame([(t,) for t in texts], "content string")).collect()
+    for r in rows:
+        polarity, evidence = twin(r["content"])
+        assert (r["evidence"], r["polarity"]) == (evidence, pytest.approx(polarity, abs=1e-9)), r["content"][:80]

@@ -14,38 +14,137 @@ from pyspark.sql import functions as F
 from tideglass.functions.text import W, strip_social
 
 # Weights and their terms, emoji, option legs, negations, promotion and class words.
-TERMS_BY_WEIGHT = """
-0.90: bullish, buy ce, ce buy
-0.85: bull run, bulls in control, call buy, ce loaded, upper circuit, went long
-0.80: all time high, breaking out, breakout, buy call, short covering, target achieved, tezi, tgt achieved
-0.75: 52 week high, higher high, reversal up, target hit, uptrend
-0.70: accumulate, add on dips, ath, badhega, buy on dips, gap up, long, outperform, rally, support holding, surge, up move, value buy
-0.65: buy, upside
-0.60: booked profit, bounce, btst, buying, highest ever, longs, profit booked, recovery, upar
-0.55: strong
-0.50: 2x, beat, higher, ke liye ready, positive, took position
-0.45: green
-0.40: averaged, cheap, milestone, momentum
-0.30: hold
--0.90: bearish, bears completely in control, buy pe, crash, pe buy
--0.85: bear market, bears in control, lower circuit, pe loaded, put buy, went short
--0.80: breakdown, breaking down, mandi, panic, sell off, selloff, short buildup, shorting, sl hit, sl triggered, stop loss hit, stoploss hit
--0.75: 52 week low, downtrend, dump, girawat, long unwinding, lower low, market decline
--0.70: book loss, down move, gap down, girega, points down, short, trapped, underperform
--0.65: decline, downside, falling, falls, selling
--0.60: avoid, correction, fall, fear, neeche, sell, shorts
--0.55: overvalued, weak
--0.50: caution, down, lower, miss, negative, profit booking
--0.45: red, risky
--0.40: exit
--0.35: resistance
-0.80: fii buy, fii buying
--0.80: fii sell, fii selling
--0.75: fii short
-0.75: fii long
-0.70: dii buying
--0.60: dii selling
-"""
+LEXICON: dict[str, float] = {
+    "bullish": 0.90,
+    "buy ce": 0.90,
+    "ce buy": 0.90,
+    "bull run": 0.85,
+    "bulls in control": 0.85,
+    "call buy": 0.85,
+    "ce loaded": 0.85,
+    "upper circuit": 0.85,
+    "went long": 0.85,
+    "all time high": 0.80,
+    "breaking out": 0.80,
+    "breakout": 0.80,
+    "buy call": 0.80,
+    "fii buy": 0.80,
+    "fii buying": 0.80,
+    "short covering": 0.80,
+    "target achieved": 0.80,
+    "tezi": 0.80,
+    "tgt achieved": 0.80,
+    "52 week high": 0.75,
+    "fii long": 0.75,
+    "higher high": 0.75,
+    "reversal up": 0.75,
+    "target hit": 0.75,
+    "uptrend": 0.75,
+    "accumulate": 0.70,
+    "add on dips": 0.70,
+    "ath": 0.70,
+    "badhega": 0.70,
+    "buy on dips": 0.70,
+    "dii buying": 0.70,
+    "gap up": 0.70,
+    "long": 0.70,
+    "outperform": 0.70,
+    "rally": 0.70,
+    "support holding": 0.70,
+    "surge": 0.70,
+    "up move": 0.70,
+    "value buy": 0.70,
+    "buy": 0.65,
+    "upside": 0.65,
+    "booked profit": 0.60,
+    "bounce": 0.60,
+    "btst": 0.60,
+    "buying": 0.60,
+    "highest ever": 0.60,
+    "longs": 0.60,
+    "profit booked": 0.60,
+    "recovery": 0.60,
+    "upar": 0.60,
+    "strong": 0.55,
+    "2x": 0.50,
+    "beat": 0.50,
+    "higher": 0.50,
+    "ke liye ready": 0.50,
+    "positive": 0.50,
+    "took position": 0.50,
+    "green": 0.45,
+    "averaged": 0.40,
+    "cheap": 0.40,
+    "milestone": 0.40,
+    "momentum": 0.40,
+    "hold": 0.30,
+    "resistance": -0.35,
+    "exit": -0.40,
+    "red": -0.45,
+    "risky": -0.45,
+    "caution": -0.50,
+    "down": -0.50,
+    "lower": -0.50,
+    "miss": -0.50,
+    "negative": -0.50,
+    "profit booking": -0.50,
+    "overvalued": -0.55,
+    "weak": -0.55,
+    "avoid": -0.60,
+    "correction": -0.60,
+    "dii selling": -0.60,
+    "fall": -0.60,
+    "fear": -0.60,
+    "neeche": -0.60,
+    "sell": -0.60,
+    "shorts": -0.60,
+    "decline": -0.65,
+    "downside": -0.65,
+    "falling": -0.65,
+    "falls": -0.65,
+    "selling": -0.65,
+    "book loss": -0.70,
+    "down move": -0.70,
+    "gap down": -0.70,
+    "girega": -0.70,
+    "points down": -0.70,
+    "short": -0.70,
+    "trapped": -0.70,
+    "underperform": -0.70,
+    "52 week low": -0.75,
+    "downtrend": -0.75,
+    "dump": -0.75,
+    "fii short": -0.75,
+    "girawat": -0.75,
+    "long unwinding": -0.75,
+    "lower low": -0.75,
+    "market decline": -0.75,
+    "breakdown": -0.80,
+    "breaking down": -0.80,
+    "fii sell": -0.80,
+    "fii selling": -0.80,
+    "mandi": -0.80,
+    "panic": -0.80,
+    "sell off": -0.80,
+    "selloff": -0.80,
+    "short buildup": -0.80,
+    "shorting": -0.80,
+    "sl hit": -0.80,
+    "sl triggered": -0.80,
+    "stop loss hit": -0.80,
+    "stoploss hit": -0.80,
+    "bear market": -0.85,
+    "bears in control": -0.85,
+    "lower circuit": -0.85,
+    "pe loaded": -0.85,
+    "put buy": -0.85,
+    "went short": -0.85,
+    "bearish": -0.90,
+    "bears completely in control": -0.90,
+    "buy pe": -0.90,
+    "crash": -0.90,
+    "pe buy": -0.90,
+}
 EMOJI = {"🚀": 0.9, "📈": 0.8, "🟢": 0.6, "💚": 0.5, "🐂": 0.85, "⬆": 0.6, "🔥": 0.4, "💪": 0.5, "🎯": 0.4, "📉": -0.8, "🔴": -0.6, "❤": -0.3, "🐻": -0.85, "⬇": -0.6, "💀": -0.7, "😭": -0.6, "🩸": -0.75, "⚠": -0.4}
 LEG_WEIGHT = 0.6
 NEGATIONS = ("not", "no", "never", "isn't", "wasn't", "won't", "don't", "doesn't", "didn't", "nahi", "nai")
@@ -55,7 +154,6 @@ EARNINGS = r"yoy|qoq|ebitda|pat|pbt|revenue|margin|net profit|results|q[1-4]fy[0
 CORPORATE = r"sebi|dividend|bonus issue|buyback|rights issue|stock split|delisting"
 MECHANICAL = r"straddle|strangle|spot price|open interest|oi data|vix|max pain|pcr|cas|closing auction"
 
-LEXICON: dict[str, float] = {t.strip(): float(w) for w, _, ts in (line.partition(":") for line in TERMS_BY_WEIGHT.strip().splitlines()) for t in ts.split(",")}
 LONGEST_FIRST = sorted(LEXICON, key=lambda t: (-len(t), t))
 TERM = rf"(?<!{W})(" + "|".join(map(re.escape, LONGEST_FIRST)).replace(r"\ ", " ") + rf")(?!{W})"
 LEG = rf"(?i)(?<!{W})(\p{{Nd}}{{4,6}})\s*(ce|pe)(?!{W})"
@@ -77,8 +175,14 @@ def weights_map() -> Column:
     return F.create_map(*(F.lit(x) for pair in LEXICON.items() for x in pair))
 
 
+def last_words(text: Column) -> Column:
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    return F.slice(words, F.greatest(F.size(words) - (NEGATION_WINDOW - 1), F.lit(1)), F.lit(NEGATION_WINDOW))
+
+
 def term_weights(lowered: Column) -> Column:
-    """Signed weights of the terms in order. One fold over (text before the term, term)."""
+    """Signed weights of the terms in order. One fold over (text before the term, term), which carries on
+    the last words only, so its time grows with the text."""
     found = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(1))
     gaps = F.split(lowered, TERM, -1)
     weights = weights_map()
@@ -87,12 +191,11 @@ def term_weights(lowered: Column) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         read = F.concat(s["read"], p["gap"])
-        words = F.filter(F.split(read, r"(?U)\s+"), lambda t: t != "")
-        last = F.slice(words, F.greatest(F.size(words) - (NEGATION_WINDOW - 1), F.lit(1)), F.lit(NEGATION_WINDOW))
-        turned = F.exists(last, lambda t: F.btrim(t, F.lit(".,!?")).isin(*NEGATIONS))
+        turned = F.exists(last_words(read), lambda t: F.btrim(t, F.lit(".,!?")).isin(*NEGATIONS))
         w = F.element_at(weights, p["term"])
         out = F.when(p["term"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.when(turned, -w).otherwise(w))))
-        return F.struct(F.concat(read, F.coalesce(p["term"], F.lit(""))).alias("read"), out.alias("out"))
+        # what is read ends with the term, so its last word may go on in the next gap
+        return F.struct(F.array_join(last_words(F.concat(read, F.coalesce(p["term"], F.lit("")))), " ").alias("read"), out.alias("out"))
 
     return F.when(F.size(found) == 0, F.array().cast(DOUBLES)).otherwise(F.aggregate(pairs, state, step, lambda s: s["out"]))
 

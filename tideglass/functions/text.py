@@ -5,11 +5,12 @@ hashtag in Devanagari ends at its first vowel sign."""
 
 from __future__ import annotations
 
-import unicodedata
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a word character, a URL, a hashtag and a mention.
 W = r"[\p{L}\p{N}_]"
 URL = r"https?://\S+"
 HASHTAG = rf"[#＃]{W}+"
@@ -17,9 +18,12 @@ MENTION = rf"@{W}+"
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode normal form KC, by an Arrow UDF; Spark has no function for it."""
-    fold = F.udf(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None, "string", useArrow=True)
-    return fold(text)
+    """Unicode normal form KC of whole Arrow batches; Spark has no function for it."""
+    return F.arrow_udf(_nfkc_batch, "string")(text)
+
+
+def _nfkc_batch(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts.cast(pa.string()), form="NFKC")
 
 
 def let(value: Column, use) -> Column:
@@ -82,8 +86,8 @@ def strip_links(text: Column) -> Column:
 
 
 def dedup_form(text: Column) -> Column:
-    """Lower case without URLs, blanks folded."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, ""), r"\s+", " "))
+    """Lower case without URLs, blanks of any script folded."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)https?://\S+", ""), r"(?U)\s+", " "))
 
 
 def shingles(norm: Column, k: int = 3) -> Column:

@@ -66,11 +66,17 @@ def signal_with_intervals(features: DataFrame, minutes: int = 15, resamples: int
     signals = bucket_signal(features, minutes, **options)
     rows = add_weight(features).where("evidence > 0").withColumn("bucket_start", bucket_of(F.col("created_at"), minutes))
     live = rows.join(signals.where("not sparse").select("bucket_start"), "bucket_start", "left_semi").withColumn("b", F.unix_timestamp("bucket_start"))
-    ends = bootstrap(live, "b", "polarity", "weight", "tweet_id", resamples)
+    ends = poisson_bootstrap(live, "b", "polarity", "weight", "tweet_id", resamples)
     out = signals.withColumn("b", F.unix_timestamp("bucket_start")).join(ends, "b", "left").drop("b")
     return out.withColumn("bucket_start_ist", F.from_utc_timestamp("bucket_start", "Asia/Kolkata"))
 
 
+def live_span(signals: DataFrame) -> DataFrame:
+    """One row: first and last bucket that is not sparse (null without any), and how many there are."""
+    live = F.when(~F.col("sparse"), F.col("bucket_start"))
+    return signals.agg(F.min(live).alias("first_live"), F.max(live).alias("last_live"), F.count(live).alias("n_live"))
+
+
 def excludes_zero(low: str = "ci_low", high: str = "ci_high") -> Column:
     return (F.col(low) > 0) | (F.col(high) < 0)
 

@@ -54,6 +54,10 @@ def market_hours(ts: Column, zone: str = ZONE) -> Column:
     return (F.weekday(local) < 5) & minute.between(9 * 60 + 15, 15 * 60 + 30)
 
 
+def to_exchange(ts: Column, zone: str = ZONE) -> Column:
+    return F.from_utc_timestamp(ts, zone)
+
+
 def exchange_to_utc(ts: Column, zone: str = ZONE) -> Column:
     return F.to_utc_timestamp(ts, zone)
 
@@ -81,10 +85,11 @@ def correlation(pairs: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> D
 
 
 def validate(signals: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (15, 30, 60), in_hours: bool = True, least: int = 5, tolerance_minutes: int = 15) -> DataFrame:
-    """One row per horizon with at least `least` aligned buckets."""
+    """One row per horizon with at least `least` aligned buckets; none where fewer buckets are live."""
     live = signals.where("not sparse and signal is not null")
     live = live.where(market_hours(F.col("bucket_start"))) if in_hours else live
-    live = live.select("bucket_start", "signal")
+    enough = live.agg((F.count(F.lit(1)) >= least).alias("enough")).where("enough")  # one row or none
+    live = live.select("bucket_start", "signal").join(F.broadcast(enough)).drop("enough")
     frames = [asof_join(live, forward_returns(prices, h).select("bar_ts", "fwd_ret"), "bucket_start", "bar_ts", ["fwd_ret"], tolerance_minutes * 60).withColumn("horizon_minutes", F.lit(h)) for h in horizons]
     return correlation(reduce(DataFrame.unionByName, frames), "signal", "fwd_ret", ("horizon_minutes",)).where(F.col("n") >= least)
 

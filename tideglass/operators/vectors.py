@@ -61,18 +61,18 @@ def term_frequencies(docs: DataFrame, id_col: str, terms: Column, space: str) ->
 
 
 def vocabulary(tf: DataFrame, min_df: int, max_features: int | None) -> DataFrame:
-    """(space, term, df, total) of terms in at least `min_df` documents, the most frequent of each space."""
+    """(space, term, df, total) of terms in at least `min_df` documents, the most frequent; `tf` is one space."""
     found = tf.groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     if max_features is None:
         return found
-    rank = F.row_number().over(Window.partitionBy("space").orderBy(F.desc("total"), "term"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= max_features).drop("rank")
+    # the top of each task, then of all: no task sorts the whole vocabulary
+    return F.broadcast(found.orderBy(F.desc("total"), "term").limit(max_features))
 
 
 def tfidf(tf: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = 20_000) -> DataFrame:
-    """(id, space, term, tf, df, weight): (1 + ln tf)(ln((1+N)/(1+df)) + 1), unit length per document and space.
+    """(id, space, term, tf, df, weight) of one space: (1 + ln tf)(ln((1+N)/(1+df)) + 1), unit length per document.
 
-    The vocabulary is bounded by `max_features`; the optimizer broadcasts it where it is small."""
+    The vocabulary is broadcast where `max_features` bounds it."""
     words = vocabulary(tf, min_df, max_features).drop("total")
     raw = tf.join(words, ["space", "term"]).withColumn("raw", (1 + F.ln("tf")) * (F.ln((1.0 + n_docs) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id", "space")))

@@ -69,6 +69,7 @@ signals AS (SELECT bucket_start, n_tweets, n_scoreable, n_tweets < 5 OR n_scorea
 
 SIGNAL_COLUMNS = f"{stamp('bucket_start')} AS bucket_start, n_tweets, n_scoreable, round(signal, 6) AS signal, round(bull_share, 6) AS bull_share, round(bull_ci_low, 6) AS bull_ci_low, round(bull_ci_high, 6) AS bull_ci_high, round(mean_engagement, 6) AS mean_engagement, sparse"
 PRICES = prices_sql()
+IST = "({} + INTERVAL '330 minutes')"
 ALIGNED = f"""{signals_sql(60)},
 {PRICES},
 returns AS (SELECT bar_ts, ln(nullif(lead(close, 2) OVER (ORDER BY bar_ts), 0) / nullif(close, 0)) AS fwd_ret FROM prices),
@@ -154,10 +155,11 @@ def oracle_sql() -> dict[str, str]:
         "bucket_signal_quarter_hours": f"{with_(signals_sql(15))} SELECT {SIGNAL_COLUMNS} FROM signals",
         "bucket_counts": f"{with_(POSTS)} SELECT {stamp('b')} AS bucket_start, count(*) AS n_tweets, count(DISTINCT user_id) AS n_users FROM (SELECT time_bucket(INTERVAL '15 minutes', created_at) AS b, user_id FROM posts) GROUP BY b",
         "wilson_intervals": f"{with_(POSTS)} SELECT user_id, n, k, round({low}, 6) AS low, round({high}, 6) AS high FROM (SELECT user_id, count(*) AS n, count(*) FILTER (like_count > 50) AS k FROM posts GROUP BY user_id)",
+        "live_span": f"{with_(signals_sql(15))} SELECT {stamp('first_live')} AS first_live, {stamp('last_live')} AS last_live, {stamp(IST.format('first_live'))} AS first_live_ist, n_live FROM (SELECT min(bucket_start) FILTER (NOT sparse) AS first_live, max(bucket_start) FILTER (NOT sparse) AS last_live, count(*) FILTER (NOT sparse) AS n_live FROM signals)",
         "bootstrap_ci": f"""{with_(FEATURES)},
 rows AS (SELECT CAST(epoch(time_bucket(INTERVAL '360 minutes', created_at)) AS BIGINT) AS b, polarity, weight, tweet_id FROM weighted WHERE evidence > 0),
 placed AS (SELECT b, polarity, weight, row_number() OVER (PARTITION BY b ORDER BY tweet_id) - 1 AS place, count(*) OVER (PARTITION BY b) AS n FROM rows),
-picks AS (SELECT b, r, CAST(('0x' || substr(md5('42:' || b || ':' || r || ':' || place), 1, 8)) AS BIGINT) % n AS place FROM placed, range(50) t(r)),
+picks AS (SELECT b, r, CAST(('0x' || substr(md5('42:' || b || ':' || r || ':' || place), 1, 8)) AS BIGINT) % n AS place FROM placed, range(1000) t(r)),
 means AS (SELECT b, r, sum(polarity * weight) / nullif(sum(weight), 0) AS m FROM picks JOIN placed USING (b, place) GROUP BY b, r)
 SELECT b, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means WHERE m IS NOT NULL GROUP BY b""",
         "composite_weights": f"{with_(FEATURES)} SELECT tweet_id, round(weight, 6) AS weight FROM weighted",

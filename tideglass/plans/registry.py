@@ -76,6 +76,12 @@ def bucket_counts(spark, d):
     return p.groupBy(sg.bucket_of(F.col("created_at"), 15).alias("b")).agg(F.count(F.lit(1)).alias("n_tweets"), F.count_distinct("user_id").alias("n_users")).select(stamp("b").alias("bucket_start"), "n_tweets", "n_users")
 
 
+@query
+def live_span(spark, d):
+    s = sg.live_span(signals(spark, d, 15))
+    return s.select(stamp("first_live").alias("first_live"), stamp("last_live").alias("last_live"), stamp(validate.to_exchange(F.col("first_live"))).alias("first_live_ist"), "n_live")
+
+
 @query
 def wilson_intervals(spark, d):
     n = posts(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("like_count") > 50).alias("k"))
@@ -86,14 +92,14 @@ def wilson_intervals(spark, d):
 @query
 def bootstrap_ci(spark, d):
     rows = features.add_weight(scored(spark, d)).where("evidence > 0").withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
-    ends = sg.bootstrap(rows, "b", "polarity", "weight", "tweet_id", resamples=50, draw=sg.md5_draw)
+    ends = sg.bootstrap(rows, "b", "polarity", "weight", "tweet_id", draw=sg.md5_draw)
     return ends.select("b", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
 @query
 def poisson_bootstrap_ci(spark, d):
     rows = features.add_weight(scored(spark, d)).where("evidence > 0").withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
-    return sg.poisson_bootstrap(rows, "b", "polarity", "weight", "tweet_id", resamples=50)
+    return sg.poisson_bootstrap(rows, "b", "polarity", "weight", "tweet_id")
 
 
 @query
@@ -356,7 +362,7 @@ def topk_per_group(spark, d):
 
 @query
 def signal_figure(spark, d):
-    f = series.signal_figure(sg.signal_with_intervals(scored(spark, d), 360, 50))
+    f = series.signal_figure(sg.signal_with_intervals(scored(spark, d), 360))
     return f.select(stamp("bucket_start").alias("bucket_start"), "is_break", "signal", "ci_low", "ci_high", "n_tweets", "significant")
 
 

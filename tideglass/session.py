@@ -1,30 +1,12 @@
-"""Session settings and lineage cuts."""
+"""Session settings, the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@dataclass(frozen=True)
-class Options:
-    """Defaults of the analysis, in one place."""
-
-    bucket_minutes: int = 15
-    window_hours: int = 24
-    min_posts: int = 5
-    min_scoreable: int = 3
-    resamples: int = 1000
-    level: float = 0.95
-    seed: int = 42
-    near_threshold: float = 0.85
-    permutations: int = 128
-    horizons: tuple[int, ...] = (15, 30, 60)
-
-
 def build(app: str = "tideglass", master: str | None = None, **conf) -> SparkSession:
     """A session in UTC with adaptive execution; further settings by keyword with __ for dots."""
     builder = SparkSession.builder.appName(app)
@@ -34,13 +16,26 @@ def build(app: str = "tideglass", master: str | None = None, **conf) -> SparkSes
     return builder.config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the folder that driver and executors share and read it back."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="tideglass-")
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. In local mode only, where the session names none,
+    the working folder serves; elsewhere executors could not read what another one wrote."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("spark-checkpoints")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back.
+
+    The lineage ends there: a lost executor costs a read, not a recomputation."""
+    at = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

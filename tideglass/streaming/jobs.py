@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tideglass.operators.dedup import bands, greedy_survivors, signatures
 from tideglass.functions.text import dedup_form, shingles
+from tideglass.session import new_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000, kind: str = "parquet") -> DataFrame:
@@ -95,8 +96,19 @@ class StallListener(StreamingQueryListener):
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs over what is available now, into an in-memory table of that name."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Runs over what is available now, into a table in the shared folder; nothing goes to the driver.
+
+    Each batch of an appending or updating query has a folder of its own, which a replay overwrites; a complete
+    result replaces the one before it."""
+    spark = stream.sparkSession
+    at = new_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
+
+    writer = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).trigger(availableNow=True)
+    query: StreamingQuery = writer.option("checkpointLocation", checkpoint or f"{at}/checkpoint").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None and not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/batch=*")
