@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.session import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. In local mode only, where the session names none,
-    the working folder serves; elsewhere executors could not read what another one wrote."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "spark-checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+__all__ = ["cut", "free_names", "shared_dir", "table", "text_or_empty"]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back.
-
-    The lineage ends there: a lost executor costs a read, not a recomputation."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def free_names(taken: Iterable[str], wanted: Iterable[str]) -> list[str]:
