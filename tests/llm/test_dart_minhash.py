@@ -123,15 +123,15 @@ def test_one_of_each_class_stays(spark):
     assert dm.drop_near_duplicates(odd.empty_documents(spark)).count() == 0
 
 
-def test_packed_sketches_count_differences(spark):
+def test_packed_sketches_count_differences():
     rng = np.random.default_rng(5)
-    a, b = rng.integers(0, 2**63, (2, 240)).astype(np.uint64)
+    a, b = rng.integers(0, 2**63, (2, 960)).astype(np.uint64)
     b[::3] = a[::3]
-    from pyspark.sql import functions as F
-
-    pa_, pb_ = (dm.packed(x[None])[0].tolist() for x in (a, b))
-    got = spark.createDataFrame([(pa_, pb_)], "a array<long>, b array<long>").select(dm.sketches_differ(F.col("a"), F.col("b"), 15)).first()[0]
-    assert got == int((((a >> np.uint64(40)) & np.uint64(15)) != ((b >> np.uint64(40)) & np.uint64(15))).sum())
+    x, y = (dm.packed(v[None]).view(np.uint64) for v in (a, b))
+    want = (((a >> np.uint64(40)) & np.uint64(15)) != ((b >> np.uint64(40)) & np.uint64(15))).sum()
+    assert dm.differing(x, y).tolist() == [want]
+    many = np.concatenate([x, y, x])
+    assert [v.tolist() for v in dm.agreeing(many, x, 0.8)] == [[0, 2], [0, 0]]
 
 
 def test_plain_copies_with_a_repeated_passage(spark):

@@ -15,7 +15,7 @@ group: equal texts are one node, and each bucket first links its members to one
 that shares most buckets with others and so stands in the middle of its group; a centre's shingles go to
 lots of LOT members, so a large group is many tasks. Only where that leaves a bucket's members in
 different classes do they meet each other: in blocks of BLOCK members, a task per two blocks, so no
-bucket is one task's work. A pair of them leaves the join once, at its first common band, and only if its
+bucket is one task's work. A pair of them leaves it once, at its least common bucket, and only if its
 packed sketches (four bits of each of SKETCH coordinates) agree as a pair at the threshold would with all
 but 3 in a million chance. A text that repeats a shingle has bands and a sketch of its plain set as
 well, and either measure's agreement makes a pair a candidate.
@@ -32,7 +32,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import cut
@@ -50,6 +50,7 @@ MASK = 2**64 - 1
 NO_WORDS = U64(0x243F6A8885A308D3)
 #: Members of a centre that one task compares with it; members of a split bucket that meet in one task.
 LOT, BLOCK = 4096, 4096
+LOT_ROWS = 20_000  # rows of small buckets that one task takes
 #: Cells that one pass of darts holds in memory.
 CELLS = 1_500_000
 
@@ -261,21 +262,25 @@ def least_agreement(threshold: float, k: int, deviations: float = 4.5) -> int:
     return int(np.floor(k * p - deviations * np.sqrt(k * p * (1 - p))))
 
 
-def sketches_differ(a: Column, b: Column, longs: int) -> Column:
-    """Number of nibbles in which two packed sketches differ."""
-    total = F.lit(0)
-    for i in range(longs):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of nibbles in which packed sketches differ, along the last axis."""
+    x = a ^ b
+    x |= x >> U64(1)
+    x |= x >> U64(2)
+    x &= U64(0x1111111111111111)
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
-def sketches_agree(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two packed sketches agree as a pair at the threshold would; most others fail on the first quarter."""
-    tests = [sketches_differ(a, b, k // 16) <= k - least_agreement(threshold, k) for k in (SKETCH // 4, SKETCH)]
-    return tests[0] & tests[1]
+def agreeing(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a, rows of b) whose sketches agree as a pair at the threshold would; most fail on a quarter."""
+    quarter, limits = SKETCH // 64, [k - least_agreement(threshold, k) for k in (SKETCH // 4, SKETCH)]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    wide = max(1, 2_000_000 // max(1, len(b) * quarter))
+    for at in range(0, len(a), wide):
+        i, j = np.nonzero(differing(a[at : at + wide, None, :quarter], b[None, :, :quarter]) <= limits[0])
+        ok = differing(a[at + i], b[j]) <= limits[1]
+        found.append((at + i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -371,10 +376,43 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def meeting(members: DataFrame, side: str, at: Column, others: Column) -> DataFrame:
-    """One side of the pairs of a bucket's blocks (low, high): each member goes to every pair of its block once."""
-    rows = members.withColumn("other", F.explode(others))
-    return rows.select("bucket", at.alias("at"), F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "bands", "sketch", "plain")))
+def met(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes whose sketches agree, each at its least common bucket.
+
+    members: bucket, key, label, blocks, block, bands, sketch, plain. A cell is a pair of blocks of a bucket;
+    a large bucket's cells are tasks of their own, small ones share tasks of about LOT_ROWS rows."""
+    lots = max(1, -(-members.count() // LOT_ROWS))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    rows = members.withColumn("cell", F.explode(cells)).select("bucket", "cell.low", "cell.high", "block", "key", "label", "bands", "sketch", F.coalesce("plain", "sketch").alias("plain"), F.col("plain").isNotNull().alias("repeats"), "blocks")
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(lots))).otherwise(F.xxhash64("bucket", "low", "high"))
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).combine_chunks() for c in table.column_names}
+        bucket, low, high, block = (columns[c].to_numpy() for c in ("bucket", "low", "high", "block"))
+        sketch, plain = (columns[c].flatten().to_numpy().view(U64).reshape(len(bucket), -1) for c in ("sketch", "plain"))
+        repeats = np.array(columns["repeats"].to_pylist(), bool)
+        label = columns["label"].dictionary_encode().indices.to_numpy()
+        order = np.lexsort((high, low, bucket))
+        new = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        out: list[tuple[bytes, bytes]] = []
+        for rows in np.split(order, new):
+            one, two = rows[block[rows] == low[rows[0]]], rows[block[rows] == high[rows[0]]]
+            pairs = [agreeing(sketch[one], sketch[two], threshold)]
+            if repeats[rows].any():
+                pairs.append(agreeing(plain[one], plain[two], threshold))
+            seen = set()
+            for i, j in zip(*(np.concatenate(x).tolist() for x in zip(*pairs, strict=True)), strict=True):
+                x, y = int(one[i]), int(two[j])
+                a, b = columns["key"][x].as_py(), columns["key"][y].as_py()
+                if label[x] == label[y] or (low[x] == high[x] and a >= b) or (a, b) in seen:
+                    continue
+                seen.add((a, b))
+                # the least, as the two may stand the other way round in another bucket
+                if min({*columns["bands"][x].as_py()} & {*columns["bands"][y].as_py()}) == bucket[x]:
+                    out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return rows.withColumn("lot", lot).groupBy("lot").applyInArrow(run, "a binary, b binary")
 
 
 def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -403,16 +441,8 @@ def classes_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     split = of.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("p != q").select("bucket", "blocks")
     apart = cut(of.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "apart")
     sketches = cut(sketched(texts.join(apart.select("key").distinct(), "key"), SKETCH, size), "sketches")
-    signed_ = cut(apart.join(crowd.select("key", "bands").join(sketches, "key"), "key"), "meeting")
-    one = meeting(signed_, "a", F.struct(F.col("block").alias("low"), F.col("other").alias("high")), F.sequence(F.col("block"), F.col("blocks") - 1))
-    two = meeting(signed_, "b", F.struct(F.col("other").alias("low"), F.col("block").alias("high")), F.sequence(F.lit(0), F.col("block")))
-    repeats = F.col("plain_a").isNotNull() | F.col("plain_b").isNotNull()
-    alike = sketches_agree(F.col("sketch_a"), F.col("sketch_b"), threshold) | (repeats & sketches_agree(F.coalesce("plain_a", "sketch_a"), F.coalesce("plain_b", "sketch_b"), threshold))
-    first = F.expr("bucket = element_at(array_intersect(bands_a, bands_b), 1)")
-    # within one block each pair stands twice
-    order = F.expr("at.low < at.high OR a < b")
-    met = one.join(two.hint("merge"), ["bucket", "at"]).where(order & (F.col("label_a") != F.col("label_b")) & alike & first).select("a", "b")
-    more = cut(verified(met, texts, threshold, size), "edges")
+    sides = cut(apart.join(crowd.select("key", "bands").join(sketches, "key"), "key"), "meeting")
+    more = cut(verified(cut(met(sides, threshold), "met"), texts, threshold, size), "edges")
     if not more.isEmpty():
         labels = components(edges.union(more), "next")
 
