@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.operators.clean import partition_columns
@@ -49,6 +49,7 @@ def write_signals(signals: DataFrame, path: str) -> None:
 
 def summary(corpus: DataFrame, classes: DataFrame, signals: DataFrame, density: DataFrame, terms: DataFrame, validation: DataFrame | None = None) -> dict:
     """The summary of a run out of small frames."""
+    # fixed values: the keys of the summary's format
     c, d = corpus.first().asDict(), density.first().asDict()
     buckets = signals.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("sparse")).alias("live")).first()
     rows = validation.orderBy("horizon_minutes").collect() if validation is not None else []
@@ -68,9 +69,18 @@ def summary(corpus: DataFrame, classes: DataFrame, signals: DataFrame, density:
     }
 
 
-def write_summary(found: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(found, f, indent=2)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_summary(spark: SparkSession, found: dict, path: str) -> None:
+    write_text(spark, json.dumps(found, indent=2), path)
 
 
 def report(found: dict, live: list[dict]) -> str:
