@@ -84,3 +84,14 @@ def test_query_digests(spark, sf):
         raw = texts[r["doc_id"]].encode()
         full = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    files = mk.text_to_media(odd.odd_documents(spark)).withColumn("codec", F.lit("mine")).withColumn("packets", F.lit(7)).withColumn("track", F.lit("t"))
+    read = mk.read_media(files)
+    assert read.columns[: len(files.columns)] == files.columns and {"codec_", "packets_"} <= set(read.columns)
+    assert {(r["codec"], r["packets"], r["codec_"]) for r in read.collect()} == {("mine", 7, "A_PCM/INT/LIT")}
+    rows = mk.packet_table(files).collect()
+    assert rows and all(r["packets"] == 7 and r["track"] == "t" and r["track_"] == 1 for r in rows)

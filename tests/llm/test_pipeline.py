@@ -17,6 +17,21 @@ def test_stages_over_the_smallest_tables(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"] and cp.ORACLE_SQL is None
 
 
+def test_stages_on_odd_and_empty_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows, further columns with clashing names; and no rows at all."""
+    import corpus_pipeline as cp
+    import odd
+    from pyspark.sql import functions as F
+
+    for docs in (odd.odd_documents(spark).withColumn("toxic_score", F.lit("mine")).withColumn("rate", F.lit(2)).withColumn("at", F.lit("x")), odd.empty_documents(spark)):
+        columns, rows = docs.columns, docs.count()
+        for name, stage in cp.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, sf), name)
+            assert docs.columns == columns and docs.count() <= rows, name
+            assert rows == 0 or docs.count() > 0, name
+        assert (cp.STAGES[-1][1](spark, docs, sf).count() > 0) == (rows > 0)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.llm.common import free_names
+
 # Element ids of the EBML and Matroska specifications.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, VIDEO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0xE0, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -231,15 +233,21 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 PACKET = "array<struct<track:bigint,cluster:bigint,timestamp_ns:bigint,keyframe:boolean,lacing:bigint,lace:bigint,offset:bigint,size:bigint>>"
+RESULT = {
+    "payload": "binary", "n_packets": "bigint", "n_clusters": "bigint", "n_cues": "bigint", "duration_ns": "bigint", "codec": "string",
+    "level_sum": "bigint", "level_crossings": "bigint", "media_error": "string", "packets": PACKET,
+}
 PACKET_TYPES = {"keyframe": pa.bool_()}
 
 
 def read_media(files: DataFrame, media_col: str = "media", with_packets: bool = True) -> DataFrame:
-    """The columns of `files` with each file's packets, counts, the samples of its first track and their levels."""
-    keep = [c for c in files.columns if c not in ("packets", "payload", "n_packets", "n_clusters", "n_cues", "duration_ns", "codec", "level_sum", "level_crossings", "media_error")]
-    source = files.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    schema += f", payload binary, n_packets bigint, n_clusters bigint, n_cues bigint, duration_ns bigint, codec string, level_sum bigint, level_crossings bigint, media_error string{', packets ' + PACKET if with_packets else ''}"
+    """The columns of `files` with each file's packets, counts, the samples of its first track and their levels.
+
+    A result column whose name `files` has already gets underscores behind it."""
+    keep, source = files.columns, files
+    own = list(RESULT.items())[: None if with_packets else -1]
+    names = [*keep, *free_names(keep, [n for n, _ in own])]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"`{n}` {kind}" for n, (_, kind) in zip(names[len(keep) :], own, strict=True))])
 
     def run(batches):
         for batch in batches:
@@ -261,13 +269,11 @@ def read_media(files: DataFrame, media_col: str = "media", with_packets: bool =
             columns = [*batch.columns, pa.array(payloads, pa.binary())]
             columns += [pa.array(x, pa.int64()) for x in ([len(p["packets"]["track"]) for p in parsed], [p["clusters"] for p in parsed], [len(p["cues"]) for p in parsed], [p["duration_ns"] for p in parsed])]
             columns += [pa.array([p["tracks"][0]["codec"] if p["tracks"] else None for p in parsed], pa.string()), pa.array(sums, pa.int64()), pa.array(crossings, pa.int64()), pa.array([p["error"] for p in parsed], pa.string())]
-            names = [*keep, "payload", "n_packets", "n_clusters", "n_cues", "duration_ns", "codec", "level_sum", "level_crossings", "media_error"]
             if with_packets:
                 offsets = np.concatenate([[0], np.cumsum([len(p["packets"]["track"]) for p in parsed], dtype=np.int64)]).astype(np.int32)
                 fields = list(parsed[0]["packets"]) if parsed else []
                 values = [pa.array([v for p in parsed for v in p["packets"][k]], PACKET_TYPES.get(k, pa.int64())) for k in fields]
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, names=fields)))
-                names.append("packets")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
@@ -277,4 +283,7 @@ def packet_table(files: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per packet, with the columns of `files` but for the bytes."""
     read = read_media(files, media_col)
     keep = [c for c in files.columns if c != media_col]
-    return read.select(*keep, F.posexplode("packets").alias("packet", "p")).select(*keep, "packet", "p.*")
+    fields = [f.split(":")[0] for f in PACKET[len("array<struct<") : -2].split(",")]
+    at, *names = free_names(keep, ["packet", *fields])
+    rows = read.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.posexplode(read.columns[-1]).alias("at", "p"))
+    return rows.select("row.*", F.col("at").alias(at), *(F.col(f"p.{f}").alias(n) for f, n in zip(fields, names, strict=True)))
