@@ -35,7 +35,7 @@ from tideglass.llm.common import cut
 STATES, PASSES, VOCABULARY, RARE = 8, 8, 65_536, 256
 LONGEST_WORD = 64  # bytes of a word in the vocabulary; longer ones are rare words
 PARTIALS = 64  # tasks that share a pass, at least
-CHUNK = 400_000  # tokens worked on at once
+CHUNK = 1_500_000  # tokens worked on at once
 FLUSH = 400_000  # words a task counts before it hands them on
 LN10 = np.log(10.0)
 
@@ -109,7 +109,16 @@ class Model:
     """pi (S), a (S, S), b (classes, S): probabilities of start, step and class."""
 
     def __init__(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray):
-        self.pi, self.a, self.b = pi, a, b
+        self.pi, self.a, self.b, self.by_state = pi, a, b, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"by_state": None}
+
+    def emissions(self) -> np.ndarray:
+        """b with a row per state: the recursions run along whole rows of sequences."""
+        if self.by_state is None:
+            self.by_state = np.ascontiguousarray(self.b.T)
+        return self.by_state
 
     @classmethod
     def start(cls, prior: np.ndarray, states: int) -> Model:
@@ -132,57 +141,65 @@ class Model:
         at, lengths = starts[order], lengths[order]
         total = np.zeros(len(at))
         alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(at) else 0), side="left")
-        alpha = None
+        emissions, step, alpha = self.emissions(), np.ascontiguousarray(self.a.T), None
         for t, n in enumerate(alive.tolist()):
-            emitted = self.b[ids[at[:n] + t]]
-            alpha = self.pi * emitted if alpha is None else (alpha[:n] @ self.a) * emitted
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
+            alpha = (self.pi[:, None] if alpha is None else step @ alpha[:, :n]) * emissions.take(ids[at[:n] + t], 1)
+            scale = alpha.sum(0)
+            alpha /= scale
             total[:n] += np.log(scale)
         out = np.empty(len(at))
         out[order] = total / LN10
         return out
 
-    def _forward(self, ids: np.ndarray, at: np.ndarray, alive: list[int], lo: int, hi: int, alpha: np.ndarray | None):
-        """Of steps lo to hi, after `alpha`: places, scaled forward states, scales and emissions."""
-        places, alphas, scales, emits = [], [], [], []
-        for t in range(lo, hi):
-            n = alive[t]
-            places.append(at[:n] + t)
-            emits.append(self.b[ids[places[-1]]])
-            alpha = (self.pi if alpha is None else alpha[:n] @ self.a) * emits[-1]
-            scales.append(alpha.sum(1))
-            alpha /= scales[-1][:, None]
-            alphas.append(alpha)
-        return places, alphas, scales, emits
+    def _forward(self, tokens: np.ndarray, at: list[int], alpha: np.ndarray | None, alphas: np.ndarray, scales: np.ndarray) -> None:
+        """Scaled forward states, a row per state, and their scales; step i takes the places at[i] to at[i + 1]."""
+        emissions, step = self.emissions(), np.ascontiguousarray(self.a.T)
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            now = alphas[:, lo:hi]
+            np.multiply(self.pi[:, None] if alpha is None else step @ alpha[:, : hi - lo], emissions.take(tokens[lo:hi], 1), out=now)
+            now.sum(0, out=scales[lo:hi])
+            now /= scales[lo:hi]
+            alpha = now
 
     def expected(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        """Expected counts of starts, steps and classes over whole sequences."""
+        """Expected counts of starts, steps and classes over whole sequences.
+
+        Held are the states and scales of CHUNK tokens; the states become the posteriors in place."""
         s = len(self.pi)
         order = np.argsort(-lengths, kind="stable")
-        at, lengths = starts[order], lengths[order]
+        begin, lengths = starts[order], lengths[order]
         alive = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
-        width = len(alive) if lengths.sum() <= CHUNK else max(1, CHUNK // len(at))
+        width = len(alive) if lengths.sum() <= 2 * CHUNK else max(1, CHUNK // len(begin))
         cuts = list(range(0, len(alive), width))
+
+        def segment(lo: int, alpha: np.ndarray | None):
+            sizes = alive[lo : lo + width]
+            at = [0, *np.cumsum(sizes).tolist()]
+            tokens = np.concatenate([ids[begin[:n] + t] for t, n in enumerate(sizes, lo)])
+            alphas, scales = np.empty((s, at[-1])), np.empty(at[-1])
+            self._forward(tokens, at, alpha, alphas, scales)
+            return at, tokens, alphas, scales
+
         entered: list[np.ndarray | None] = [None]
         for lo in cuts[:-1]:
-            entered.append(self._forward(ids, at, alive, lo, lo + width, entered[-1])[1][-1])
+            at, _, alphas, _ = segment(lo, entered[-1])
+            entered.append(alphas[:, at[-2] :].copy())
         steps, classes, first = np.zeros((s, s)), np.zeros((len(self.b), s)), np.zeros(s)
-        ahead = np.empty((0, s))
-        for lo, alpha in zip(reversed(cuts), reversed(entered), strict=True):
-            hi = min(lo + width, len(alive))
-            places, alphas, scales, emits = self._forward(ids, at, alive, lo, hi, alpha)
-            gammas = [np.empty(0)] * (hi - lo)
-            for i in range(hi - lo - 1, -1, -1):
-                m = len(ahead)
-                steps += alphas[i][:m].T @ ahead
-                beta = np.ones((len(alphas[i]), s))
-                beta[:m] = ahead @ self.a.T
-                gammas[i] = alphas[i] * beta
-                ahead = emits[i] * beta / scales[i][:, None]
-            tokens, gamma = ids[np.concatenate(places)], np.concatenate(gammas)
-            classes += np.stack([np.bincount(tokens, gamma[:, i], len(self.b)) for i in range(s)], 1)
-            first = gammas[0].sum(0)
+        emissions, ahead = self.emissions(), np.empty((s, 0))
+        for start, alpha in zip(reversed(cuts), reversed(entered), strict=True):
+            at, tokens, alphas, scales = segment(start, alpha)
+            for lo, hi in zip(reversed(at[:-1]), reversed(at[1:]), strict=True):
+                now, m = alphas[:, lo:hi], ahead.shape[1]
+                steps += now[:, :m] @ ahead.T
+                beta = np.ones((s, hi - lo))
+                np.matmul(self.a, ahead, out=beta[:, :m])
+                now *= beta
+                beta *= emissions.take(tokens[lo:hi], 1)
+                beta /= scales[lo:hi]
+                ahead = beta
+            for i in range(s):
+                classes[:, i] += np.bincount(tokens, alphas[i], len(self.b))
+            first = alphas[:, : at[1]].sum(1)
         return first, steps * self.a, classes
 
 
