@@ -32,7 +32,8 @@ def test_block_max_like_brute_force(frequent, monkeypatch):
     examples = [vector() for _ in range(700)]
     examples += examples[:50]
     digests = np.concatenate([np.arange(700), np.arange(50)])
-    index = kt.BlockMaxIndex(examples, n_terms, digests)
+    cuts = np.concatenate([[0], np.cumsum([len(t) for t, _ in examples])])
+    index = kt.BlockMaxIndex(np.concatenate([t for t, _ in examples]), np.concatenate([w for _, w in examples]), cuts, n_terms, digests)
     dense = np.zeros((len(examples), n_terms))
     for i, (t, w) in enumerate(examples):
         dense[i, t] = w
@@ -47,7 +48,7 @@ def test_block_max_like_brute_force(frequent, monkeypatch):
 
 
 def test_empty_index():
-    assert kt.BlockMaxIndex([], 0).nearest([(np.empty(0, np.int64), np.empty(0))], 5)[0][0].tolist() == []
+    assert kt.BlockMaxIndex(np.empty(0, np.int32), np.empty(0), np.zeros(1, np.int64), 0).nearest([(np.empty(0, np.int64), np.empty(0))], 5)[0][0].tolist() == []
 
 
 def test_monotone_curve():

@@ -135,12 +135,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def clustered(dense: np.ndarray, parts: int, rounds: int = 4) -> np.ndarray:
     """An order of the rows in which those of one spherical cluster stand together."""
-    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    unit = dense / np.maximum(np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None], 1e-12)
     centres = unit[np.linspace(0, len(unit) - 1, parts).astype(int)]
     for _ in range(rounds):
         of = (unit @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, unit)
+        sums = np.stack([unit[of == i].sum(0) for i in range(parts)])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     near = unit @ centres.T
     of = near.argmax(1)
@@ -150,11 +149,9 @@ def clustered(dense: np.ndarray, parts: int, rounds: int = 4) -> np.ndarray:
 class BlockMaxIndex:
     """Unit vectors of examples, in blocks of BLOCK. `terms`, `weights`, `cuts` are their entries, example by example."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, digests: np.ndarray | None = None):
-        self.n, self.n_terms, self.query = len(vectors), n_terms, None
-        self.cuts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
-        self.terms = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int32)
-        self.weights = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(float)
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, cuts: np.ndarray, n_terms: int, digests: np.ndarray | None = None):
+        self.n, self.n_terms, self.query = len(cuts) - 1, n_terms, None
+        self.terms, self.weights, self.cuts = terms, weights, cuts
         df = np.bincount(self.terms, minlength=n_terms)
         order = np.argsort(-df, kind="stable")[: min(FREQUENT, n_terms)]
         self.frequent = np.sort(order[df[order] >= max(2, self.n // 64)])
@@ -293,15 +290,24 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
 
+def unit_weights(terms: np.ndarray, counts: np.ndarray, cuts: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Weights of the entries of all examples, each example of length one."""
+    raw = (1 + np.log(counts.astype(float))) * factor[terms]
+    lengths = np.diff(cuts)
+    some = lengths > 0
+    if some.any():
+        raw /= np.repeat(np.sqrt(np.add.reduceat(raw * raw, cuts[:-1][some])), lengths[some])
+    return raw
+
+
 class Scorer:
     """The fitted classifier: bounded by LABELLED examples and ENTRIES entries."""
 
-    def __init__(self, words: pa.Array, factor: np.ndarray, ids: pa.Array, toxic: np.ndarray, digests: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int):
+    def __init__(self, words: pa.Array, factor: np.ndarray, ids: pa.Array, toxic: np.ndarray, digests: np.ndarray, terms: np.ndarray, counts: np.ndarray, cuts: np.ndarray, k: int):
         self.words, self.factor, self.k = words, factor, k
-        self.index = BlockMaxIndex([self.weights(t, c) for t, c in entries], len(words), digests)
-        order, counts = self.index.order, [c for _, c in entries]
-        found = np.concatenate([counts[i] for i in order.tolist()] or [np.empty(0)])
-        self.counts = found.astype(np.min_scalar_type(int(found.max(initial=0))))
+        self.index = BlockMaxIndex(terms, unit_weights(terms, counts, cuts, factor), cuts, len(words), digests)
+        lengths = np.diff(cuts)[self.index.order]
+        self.counts = counts[ranges(cuts[:-1][self.index.order], lengths)]
         self.toxic = toxic[self.index.order]
         self.ids = ids.take(pa.array(self.index.order, pa.int64()))
         self.share = float((toxic.sum() + PRIOR_TOXIC) / (len(toxic) + PRIOR_ROWS))
@@ -317,11 +323,7 @@ class Scorer:
         self.__dict__.update(state)
         self.index = BlockMaxIndex.__new__(BlockMaxIndex)
         self.index.__dict__.update(state["index"])
-        raw = (1 + np.log(self.counts.astype(float))) * self.factor[self.index.terms]
-        lengths = np.diff(self.index.cuts)
-        some = lengths > 0
-        norms = np.sqrt(np.add.reduceat(raw * raw, self.index.cuts[:-1][some])) if some.any() else np.empty(0)
-        self.index.weights = raw / np.repeat(norms, lengths[some])
+        self.index.weights = unit_weights(self.index.terms, self.counts, self.index.cuts, self.factor)
 
     def broadcast(self, spark):
         """The examples, sent once for fitting and scoring; the curve travels with each job."""
@@ -362,18 +364,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     spark = docs.sparkSession
     rows = chosen_examples(training_rows(docs, labels, usable, id_col, text_col, label_col, labelled), labelled, entries)
     toxic = np.array(rows.column("toxic").to_pylist(), bool)
-    lists = rows.column("words").combine_chunks()
-    coded = pc.dictionary_encode(lists.flatten())
+    cuts = np.concatenate([[0], np.cumsum(rows.column("size").to_numpy())]).astype(np.int64)
+    coded = pc.dictionary_encode(rows.column("words").combine_chunks().flatten())
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    words, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    counts = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    sizes = rows.column("size").to_numpy()
+    words, terms = coded.dictionary, coded.indices.to_numpy()
+    counts = rows.column("counts").combine_chunks().flatten().to_numpy()
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    ids, digests = rows.column("id").combine_chunks(), rows.column("digest").to_numpy()
+    del rows, coded
     df, n = document_frequencies(docs, words, text_col) if len(words) else (np.zeros(0, np.int64), 0)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(cuts))
     factor = (np.log((1 + n) / (1 + df)) + 1.0) * (BASE + association(terms, owner, toxic, len(words)))
-    ends = np.cumsum(sizes)
-    each = [(terms[e - s : e], counts[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    scorer = Scorer(words, factor, rows.column("id").combine_chunks(), toxic, rows.column("digest").to_numpy(), each, k)
+    del owner
+    scorer = Scorer(words, factor, ids, toxic, digests, terms, counts, cuts, k)
     if not len(toxic):
         return scorer
     shared = scorer.broadcast(spark)
@@ -388,7 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for *_, v in found], pa.float64())], names=["id", "vote"])
 
     parts = max(1, min(spark.sparkContext.defaultParallelism * 2, len(toxic) // 250))
-    votes = spark.range(0, len(toxic), 1, parts).mapInArrow(run, "id bigint, vote double").orderBy("id").toArrow()
+    votes = spark.range(0, len(toxic), 1, parts).mapInArrow(run, "id bigint, vote double").toArrow().sort_by("id")
     return scorer.calibrated(votes.column("vote").to_pylist())
 
 
