@@ -189,7 +189,8 @@ def salted(many: DataFrame, of: DataFrame, key: str, by: str) -> DataFrame:
     """Joined on `key`; of each key in `of` there is one row, and a frequent key's rows go to SALTS tasks by `by`."""
     dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     every = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(every, [key, "salt"]).drop("salt")
+    # never broadcast: the estimate of its size knows nothing of the salts
+    return dealt.join(every.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def bootstrap(docs: DataFrame, scanned: DataFrame, text_col: str = "text", rounds: int = ROUNDS, least: float = LEAST, smooth: float = SMOOTH, least_seeds: int = LEAST_SEEDS) -> DataFrame:
