@@ -159,6 +159,23 @@ def test_bounds_of_the_fit(spark):
     assert none.index.n == 0 and all(r["toxic_score"] < 0.5 for r in kt.score_documents(docs, none).collect())
 
 
+def test_python_gets_texts_only_piece_by_piece(spark, monkeypatch):
+    """Rows stay in the JVM, each text is scored once, and pieces of a batch change nothing."""
+    rows, labels = corpus()
+    docs = odd.documents(spark, rows)
+    scorer = kt.fit(docs, odd.labels(spark, labels))
+    for out in (kt.drop_toxic(docs, scorer), kt.score_documents(docs, scorer).where("toxic_score < 0.5")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+    one, many = ({r["doc_id"]: (r["toxic_score"], r["toxic_nearest"]) for r in kt.score_documents(docs.repartition(n), scorer).collect()} for n in (1, 16))
+    assert len(rows) > 2 * kt.AT_ONCE and one == many and len(one) == len(rows)
+    index = scorer.index
+    whole = kt.unit_weights(index.terms, scorer.counts, index.cuts, scorer.factor)
+    monkeypatch.setattr(kt, "AT_ONCE", 7)
+    assert list(kt.pieces(15)) == [(0, 7), (7, 7), (14, 1)] and list(kt.pieces(0)) == []
+    assert (kt.unit_weights(index.terms, scorer.counts, index.cuts, scorer.factor) == whole).all()
+
+
 def test_odd_rows(spark):
     docs = odd.odd_documents(spark)
     marks = odd.labels(spark, [(1, 1, 1), (1, 1, 0), (7, None, None), (None, 1, 1), (8, 1, 0)])

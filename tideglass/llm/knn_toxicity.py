@@ -18,7 +18,8 @@ by their cosine in double precision; ties go to the example that stands first.
 Score: votes of the K nearest, weighted by the inverse of their distance, mapped to a probability by a
 monotone curve. The curve is fitted to votes of the examples on each other. An example with the very
 same text has no vote, in fitting and in scoring: no label decides its own text's score, and the curve
-holds for labelled and other texts alike. A text without neighbours gets the examples' smoothed share of
+holds for labelled and other texts alike. Python gets the texts and gives the scores, AT_ONCE texts at
+a time; the documents' other columns stay in the JVM. A text without neighbours gets the examples' smoothed share of
 toxic ones.
 
 Defined results: null or empty text has no words; labels that are null are no labels, several of one
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import Iterator, Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ BASE, CHANCE = 0.02, 10.0  # weight of a word without association; chi-squared t
 NEAR = 0.05  # added to a distance before it is inverted
 PRIOR_ROWS, PRIOR_TOXIC = 20.0, 0.5
 LOT_QUERIES, LOT_POSTINGS = 48, 2_000_000  # queries and postings that are worked on at once
+AT_ONCE = 256  # texts of a batch that are taken apart at once
 MARGIN = 1e-4  # more than single precision loses in a cosine
 EVIDENCE = 3
 WORD = re.compile(r"\w+")
@@ -58,6 +61,11 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def pieces(n: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the pieces of AT_ONCE rows that n rows make."""
+    return ((i, min(AT_ONCE, n - i)) for i in range(0, n, AT_ONCE))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column | None, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """row, place, id, digest, toxic, text of labelled documents; usable: a condition on the labels' ids."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -102,8 +110,9 @@ def document_frequencies(docs: DataFrame, words: pa.Array, text_col: str) -> tup
         counts = np.zeros(len(at) + 1, np.int64)
         for batch in batches:
             counts[-1] += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                counts[[i for i in map(at.get, set(words_of(text))) if i is not None]] += 1
+            for piece in pieces(batch.num_rows):
+                for text in batch.column(0).slice(*piece).to_pylist():
+                    counts[[i for i in map(at.get, set(words_of(text))) if i is not None]] += 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["term", "n"])
 
@@ -292,11 +301,15 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unit_weights(terms: np.ndarray, counts: np.ndarray, cuts: np.ndarray, factor: np.ndarray) -> np.ndarray:
     """Weights of the entries of all examples, each example of length one."""
-    raw = (1 + np.log(counts.astype(float))) * factor[terms]
-    lengths = np.diff(cuts)
-    some = lengths > 0
-    if some.any():
-        raw /= np.repeat(np.sqrt(np.add.reduceat(raw * raw, cuts[:-1][some])), lengths[some])
+    raw = np.empty(len(terms))
+    for first in range(0, len(cuts) - 1, AT_ONCE):
+        ends = cuts[first : first + AT_ONCE + 1]
+        part = slice(ends[0], ends[-1])
+        raw[part] = (1 + np.log(counts[part].astype(float))) * factor[terms[part]]
+        lengths = np.diff(ends)
+        some = lengths > 0
+        if some.any():
+            raw[part] /= np.repeat(np.sqrt(np.add.reduceat(raw[part] * raw[part], (ends[:-1] - ends[0])[some])), lengths[some])
     return raw
 
 
@@ -377,6 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     factor = (np.log((1 + n) / (1 + df)) + 1.0) * (BASE + association(terms, owner, toxic, len(words)))
     del owner
     scorer = Scorer(words, factor, ids, toxic, digests, terms, counts, cuts, k)
+    del terms, counts
     if not len(toxic):
         return scorer
     shared = scorer.broadcast(spark)
@@ -401,20 +415,25 @@ def with_scores(docs: DataFrame, scorer: Scorer, text_col: str, with_evidence: b
     source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64(text).alias("digest"))
     shared, curve, share = scorer.broadcast(docs.sparkSession), scorer.curve, scorer.share
     ids = scorer.ids.type
-    kind = pa.list_(pa.struct([("id", ids), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+    near = pa.list_(pa.struct([("id", ids), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+    kind = pa.struct([("toxic_score", pa.float64()), ("toxic_neighbours", pa.int64()), ("toxic_nearest", pa.float64()), ("toxic_evidence", near)])
 
-    def run(batches):
+    def run(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = shared.value
-        for batch in batches:
-            found = scorer.raw([scorer.vector(t) for t in batch.column(1).to_pylist()], batch.column(2).to_pylist())
-            columns = [batch.column(0), pa.array([probability(v, curve, share) for *_, v in found], pa.float64()), pa.array([len(i) for i, *_ in found], pa.int64()), pa.array([float(c[0]) if len(c) else None for _, c, _ in found], pa.float64())]
-            top = [(i[:EVIDENCE], c[:EVIDENCE]) for i, c, _ in found] if with_evidence else [None] * len(found)
-            columns.append(pa.array([t and [{"id": scorer.ids[e].as_py(), "cosine": x, "toxic": bool(scorer.toxic[e])} for e, x in zip(t[0].tolist(), t[1].tolist(), strict=True)] for t in top], kind))
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "toxic_score", "toxic_neighbours", "toxic_nearest", "toxic_evidence"])
-
-    id_kind = T.StructType([T.StructField("id", _spark_type(ids)), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    out = [source.schema["row"], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_neighbours", T.LongType()), T.StructField("toxic_nearest", T.DoubleType()), T.StructField("toxic_evidence", T.ArrayType(id_kind))]
-    return source.mapInArrow(run, T.StructType(out))
+        for texts, digests in batches:
+            parts = [scored(scorer, texts.slice(*piece).to_pylist(), digests.slice(*piece).to_pylist()) for piece in pieces(len(texts))]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    def scored(scorer: Scorer, texts: list[str], digests: list[int]) -> pa.Array:
+        found = scorer.raw([scorer.vector(t) for t in texts], digests)
+        columns = [pa.array([probability(v, curve, share) for *_, v in found], pa.float64()), pa.array([len(i) for i, *_ in found], pa.int64()), pa.array([float(c[0]) if len(c) else None for _, c, _ in found], pa.float64())]
+        top = [(i[:EVIDENCE], c[:EVIDENCE]) for i, c, _ in found] if with_evidence else [None] * len(found)
+        columns.append(pa.array([t and [{"id": scorer.ids[e].as_py(), "cosine": x, "toxic": bool(scorer.toxic[e])} for e, x in zip(t[0].tolist(), t[1].tolist(), strict=True)] for t in top], near))
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    # not run twice where a score is both asked for and in a condition
+    score = F.arrow_udf(run, _spark_type(kind)).asNondeterministic()
+    return source.select("row", score("text", "digest").alias("found")).select("row", "found.*")
 
 
 def _spark_type(kind: pa.DataType) -> T.DataType:
