@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import unicodedata
 
 import odd
 import pytest
@@ -94,6 +97,46 @@ def test_query_like_brute_force(spark, sf):
     assert all(o["rate"] == pytest.approx(rows[i]["rate"], abs=1e-5) and o["n_tokens"] == len(texts[i].split()) and o["posterior"] == pytest.approx(max(rows[i]["p"]), abs=1e-5) for i, o in out.items())
 
 
+@pytest.mark.parametrize("n_domains", [1, 2, 5])
+@pytest.mark.parametrize("most", [1 << 31, 1 << 20])
+def test_words_are_gone_through_once_for_two_domains(spark, n_domains, most, monkeypatch):
+    """Exact sums, also of texts whose words are summed part by part, and of none."""
+    monkeypatch.setattr(mixing, "HALF", most, raising=False)
+    rng = random.Random(8)
+    weights = [[rng.uniform(-12, 9) for _ in range(64)] for _ in range(n_domains)]
+    model = mixing.Classifier([str(d) for d in range(n_domains)], [0.0] * n_domains, [], [], weights)
+    texts = [[rng.randrange(64) for _ in range(n)] for n in (0, 1, 4, 5, 6, 300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, words array<int>")
+    got = {r["i"]: r["e"] for r in rows.select("i", model.evidence(F.col("words")).alias("e")).collect()}
+    for i, words in enumerate(texts):
+        assert got[i] == pytest.approx([sum(round(w[b], 4) for b in words) for w in weights], abs=1e-9)
+    assert sum(len(g) for g in got.values()) == n_domains * len(texts)
+
+
+def test_classes_of_characters(spark):
+    """The listed characters are those of the classes they stand for."""
+    every = spark.range(1, 0x3000).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for own, java in ((f"[{mixing.BLANK}]", r"\s"), (f"[{mixing.MARKS}]", r"[\s\p{Punct}]")):
+        assert every.where(F.col("c").rlike(own) != F.col("c").rlike(java)).count() == 0 < every.where(F.col("c").rlike(own)).count()
+
+
+def test_features_like_plain_python(spark):
+    """The classes of a text's characters are counted in what is left of it; its words have no empty ones."""
+    texts = ["", " \n", "...", "plain words only", " Ünï Ω9 ²x ß-A, ... (b) ", "a\tb\u00a0c #tag @x 12,5%", "É\u00c9 \U0001f600\U0001f600z", "UPPER 007", "--a--b c--\n"]
+    texts = [t.replace("\\n", "\n") for t in texts]
+    found = mixing.add_features(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text")
+    assert found.columns == ["i", "text", "tokens", "x", "words"]
+    assert found.select("x")._jdf.queryExecution().optimizedPlan().toString().count("[abcdefghijklmnopqrstuvwxyz") == 1
+    for r in found.collect():
+        t = r["text"]
+        tokens, terms = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w], [w for w in re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", t.lower()) if w]
+        kinds = [unicodedata.category(c) for c in t]
+        symbols = sum(k[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:!?'\"()-" for c, k in zip(t, kinds))
+        n, count = max(1, len(t)), max(1, len(tokens))
+        want = [math.log1p(count), n / count, symbols / n, sum(c in "0123456789" for c in t) / n, kinds.count("Lu") / n, len(set(terms)) / max(1, len(terms))]
+        assert r["x"] == pytest.approx(want) and r["tokens"] == len(tokens) and len(r["words"]) == len(terms), t
+
+
 def test_like_plain_descent(spark):
     """Rates against the same steps in plain Python, with some documents pushed to zero."""
     table = [(float(3 + i % 7), [0.9, 0.1] if i % 3 else [0.2, 0.8]) for i in range(60)]

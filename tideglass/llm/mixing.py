@@ -2,7 +2,8 @@
 
 A labelled table gives some documents a domain. A naive Bayes classifier predicts for every document the
 posterior of each domain: from its words, hashed to BUCKETS, and from bins of FEATURES of its surface,
-both counted in SQL. It learns from at most LABELLED labelled rows (the bound of the fit); one in FOLDS
+both counted in SQL. The words' weights count in units of UNIT, those of two domains in the halves of one
+integer, so that a text's words are gone through once for two domains, and sums are exact. It learns from at most LABELLED labelled rows (the bound of the fit); one in FOLDS
 of them is held out and chooses how far the words' evidence counts: it grows with a power of the number of
 words, as words of one text are not independent. The same rows give the classifier's held-out accuracy
 and loss. What it sends to workers is bounded by BUCKETS numbers per domain.
@@ -27,6 +28,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,11 @@ from tideglass.llm.spans import let
 LABELLED, BINS, BUCKETS, FOLDS = 20_000, 12, 1 << 14, 5
 STEPS, CLOSE = 60, 1e-4
 SMOOTH = 0.1  # added to each count of a word
+UNIT, HALF = 1e-4, 1 << 31  # of the words' weights; what the sum of a half of a pair stays under
+#: As classes of single characters, which Java looks up in one table: \s, and \s with \p{Punct}.
+BLANK = r" \t\n\x0B\f\r"
+PLAIN = BLANK + r".,;:!?'\"()\-"
+MARKS = BLANK + r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]\^_`{|}~"
 FEATURES = ("length", "word", "symbols", "digits", "upper", "distinct")
 #: (power of the number of words, factor): how the evidence of the words may count.
 TEMPERS = ((0.0, 1.0), (0.0, 0.3), (0.5, 3.0), (0.5, 1.0), (0.5, 0.3), (1.0, 30.0), (1.0, 10.0), (1.0, 3.0), (1.0, 0.0))
@@ -48,16 +55,23 @@ def add_features(df: DataFrame, text: str) -> DataFrame:
     t = F.col(text)
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
 
+    def parted(value: Column, at: str, characters: str) -> Column:
+        """What stands between runs of some characters; trimmed, so that no part is empty."""
+        inner = F.btrim(value, F.lit(characters))
+        return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{at}]+"))
+
     def share(pattern: str) -> Column:
-        return (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
+        return (F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))) / n
 
-    df = df.withColumn("tokens", F.size(F.array_remove(F.split(t, r"\s+"), "")))
-    df = df.withColumn("terms", F.array_remove(F.split(F.lower(t), r"[\s\p{Punct}]+"), ""))
+    df = df.withColumn("tokens", F.size(parted(t, BLANK, string.whitespace)))
+    df = df.withColumn("terms", parted(F.lower(t), MARKS, string.whitespace + string.punctuation))
+    # most of a text is in none of the classes that are counted, and goes at once
+    df = df.withColumn("rest", F.regexp_replace(t, f"[{string.ascii_lowercase}{PLAIN}]+", ""))
     count = F.greatest("tokens", F.lit(1)).cast("double")
     distinct = F.size(F.array_distinct("terms")) / F.greatest(F.size("terms"), F.lit(1)).cast("double")
-    x = [F.log1p(count), n / count, share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]+"), share("[0-9]+"), share(r"\p{Lu}+"), distinct]
+    x = [F.log1p(count), n / count, share(rf"[^{PLAIN}\p{{L}}\p{{N}}]+"), share("[0123456789]+"), share(r"\p{Lu}+"), distinct]
     words = F.transform("terms", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("x", F.array(*x)).withColumn("words", words).drop("terms")
+    return df.withColumn("x", F.array(*x)).withColumn("words", words).drop("terms", "rest")
 
 
 @dataclass
@@ -78,14 +92,32 @@ class Classifier:
         bins = [sum((F.when(x[j] > e, 1).otherwise(0) for e in edges), F.lit(0)) for j, edges in enumerate(self.edges)]
         return [F.lit(prior) + sum((F.get(F.array(*(F.lit(v) for v in row)), bins[j]) for j, row in enumerate(table)), F.lit(0.0)) for table, prior in zip(self.tables, self.priors, strict=True)]
 
-    def evidence(self, words: Column) -> list[Column]:
-        """Sum of the words' weights, per domain."""
+    def evidence(self, words: Column) -> Column:
+        """array<double> of the sums of the words' weights, per domain."""
+        units = [[round(v / UNIT) for v in row] for row in self.weights]
+        least = min((min(row) for row in units), default=0)
+        # of so many words at most the sums stay under HALF
+        part = max(1, (HALF - 1) // max(1, max((max(row) for row in units), default=0) - least))
+        size = F.size(words)
+        starts = F.sequence(F.lit(0), F.floor((size - 1) / part).cast("int"))
+
+        def pair(high: list[int], low: list[int]) -> Column:
+            table = F.split(F.lit(",".join(str(((a - least) << 32) + b - least) for a, b in zip(high, low, strict=True))), ",").cast("array<bigint>")
+
+            def total(some: Column) -> Column:
+                return F.aggregate(some, F.lit(0).cast("bigint"), lambda s, b: s + F.get(table, b))
+
+            def halves(sums: Column) -> Column:
+                least_sum = size.cast("bigint") * least
+                high = F.aggregate(sums, least_sum, lambda s, v: s + F.shiftright(v, 32))
+                low = F.aggregate(sums, least_sum, lambda s, v: s + v.bitwiseAND(F.lit((1 << 32) - 1)))
+                return F.array(high * UNIT, low * UNIT)
 
-        def total(weights: list[float]) -> Column:
-            table = F.split(F.lit(",".join(f"{v:.4f}" for v in weights)), ",").cast("array<double>")
-            return F.aggregate(words, F.lit(0.0), lambda s, b: s + F.get(table, b))
+            sums = F.when(size <= part, F.array(total(words))).otherwise(F.transform(starts, lambda i: total(F.slice(words, i * part + 1, F.lit(part)))))
+            return let(sums, halves)
 
-        return [total(w) for w in self.weights]
+        pairs = [pair(units[i], units[min(i + 1, len(units) - 1)]) for i in range(0, len(units), 2)]
+        return F.slice(F.flatten(F.array(*pairs)), 1, len(units))
 
     def posteriors(self, surface: Column, evidence: Column, n_words: Column, temper: tuple[float, float] | None = None) -> Column:
         """array<double> of the domains' posteriors, from arrays of surface and evidence."""
@@ -134,7 +166,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col: s
 def tempered(model: Classifier, held: DataFrame) -> Classifier:
     """With the temper of the least loss on held-out rows; all are judged in one pass."""
     at = F.array_position(F.array(*(F.lit(d) for d in model.domains)), F.col("domain")).cast("int") - 1
-    rows = held.select(F.array(*model.surface(F.col("x"))).alias("s"), F.array(*model.evidence(F.col("words"))).alias("e"), F.size("words").alias("n"), at.alias("at"))
+    rows = held.select(F.array(*model.surface(F.col("x"))).alias("s"), model.evidence(F.col("words")).alias("e"), F.size("words").alias("n"), at.alias("at"))
     sums = [F.count(F.lit(1)).alias("rows")]
     for i, temper in enumerate(TEMPERS):
         p = model.posteriors(F.col("s"), F.col("e"), F.col("n"), temper)
@@ -150,7 +182,7 @@ def tempered(model: Classifier, held: DataFrame) -> Classifier:
 def add_posteriors(df: DataFrame, model: Classifier, text: str) -> DataFrame:
     """Adds `tokens` and `p`, the posteriors; takes the column `text` away."""
     df = add_features(df, text).drop(text)
-    df = df.withColumn("s", F.array(*model.surface(F.col("x")))).withColumn("e", F.array(*model.evidence(F.col("words")))).withColumn("n", F.size("words"))
+    df = df.withColumn("s", F.array(*model.surface(F.col("x")))).withColumn("e", model.evidence(F.col("words"))).withColumn("n", F.size("words"))
     return df.withColumn("p", model.posteriors(F.col("s"), F.col("e"), F.col("n"))).drop("x", "words", "s", "e", "n")
 
 
