@@ -155,7 +155,21 @@ CORPORATE = r"sebi|dividend|bonus issue|buyback|rights issue|stock split|delisti
 MECHANICAL = r"straddle|strangle|spot price|open interest|oi data|vix|max pain|pcr|cas|closing auction"
 
 LONGEST_FIRST = sorted(LEXICON, key=lambda t: (-len(t), t))
-TERM = rf"(?<!{W})(" + "|".join(map(re.escape, LONGEST_FIRST)).replace(r"\ ", " ") + rf")(?!{W})"
+
+
+def one_of(terms, at: int = 0) -> str:
+    """A pattern of the terms as a tree of prefixes, the longest first: a start of a word is tried once, not once a term."""
+    heads = sorted({t[at] for t in terms if len(t) > at})
+    found = [re.escape(h).replace(r"\ ", " ") + one_of([t for t in terms if len(t) > at and t[at] == h], at + 1) for h in heads]
+    if any(len(t) == at for t in terms):
+        found.append("")
+    return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
+
+TERM = rf"(?<!{W})({one_of(LONGEST_FIRST)})(?!{W})"
+# A text with no negation word at all turns no sign. The gaps between terms, the last one included.
+NEGATION = rf"(?<!{W})(?:{'|'.join(NEGATIONS)})(?!{W})"
+GAP = rf"(?s)(.*?)(?:{TERM}|\z)"
 LEG = rf"(?i)(?<!{W})(\p{{Nd}}{{4,6}})\s*(ce|pe)(?!{W})"
 DOUBLES = "array<double>"
 
@@ -176,15 +190,17 @@ def weights_map() -> Column:
 
 
 def last_words(text: Column) -> Column:
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
     return F.slice(words, F.greatest(F.size(words) - (NEGATION_WINDOW - 1), F.lit(1)), F.lit(NEGATION_WINDOW))
 
 
 def term_weights(lowered: Column) -> Column:
-    """Signed weights of the terms in order. One fold over (text before the term, term), which carries on
-    the last words only, so its time grows with the text."""
+    """Signed weights of the terms in order. Where the text has a negation, one fold over (text before the
+    term, term), which carries on the last words only, so its time grows with the text.
+
+    Patterns go through functions that keep them: `split` compiles its own for every row."""
     found = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(1))
-    gaps = F.split(lowered, TERM, -1)
+    gaps = F.regexp_extract_all(lowered, F.lit(GAP), F.lit(1))
     weights = weights_map()
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("term"))
     state = F.struct(F.lit("").alias("read"), F.array().cast(DOUBLES).alias("out"))
@@ -197,7 +213,8 @@ def term_weights(lowered: Column) -> Column:
         # what is read ends with the term, so its last word may go on in the next gap
         return F.struct(F.array_join(last_words(F.concat(read, F.coalesce(p["term"], F.lit("")))), " ").alias("read"), out.alias("out"))
 
-    return F.when(F.size(found) == 0, F.array().cast(DOUBLES)).otherwise(F.aggregate(pairs, state, step, lambda s: s["out"]))
+    plain = F.transform(found, lambda t: F.element_at(weights, t))
+    return F.when(F.rlike(lowered, F.lit(NEGATION)), F.aggregate(pairs, state, step, lambda s: s["out"])).otherwise(plain)
 
 
 def emoji_count(body: Column, glyph: str) -> Column:
@@ -206,6 +223,11 @@ def emoji_count(body: Column, glyph: str) -> Column:
 
 
 def emoji_weights(body: Column) -> Column:
+    ascii_only = F.octet_length(body) == F.length(body)
+    return F.when(ascii_only, F.array().cast(DOUBLES)).otherwise(_emoji_weights(body))
+
+
+def _emoji_weights(body: Column) -> Column:
     return F.flatten(F.array(*(F.array_repeat(F.lit(w), emoji_count(body, e)) for e, w in EMOJI.items())))
 
 

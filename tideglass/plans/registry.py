@@ -18,6 +18,7 @@ from tideglass.operators import dedup, features, planner, series, validate, vect
 from tideglass.operators import signal as sg
 from tideglass.plans.oracles import EMOJI_SHOWN, NOW_EPOCH
 from tideglass.plans.posts import EMOJI_TEMPLATES, posts, prices
+from tideglass.session import spread
 
 QUERIES: dict = {}
 NOW = datetime.fromtimestamp(NOW_EPOCH, tz=timezone.utc)
@@ -45,7 +46,7 @@ def table(spark, d, name):
 
 
 def scored(spark, d):
-    return features.add_features(posts(spark, d))
+    return features.add_features(spread(posts(spark, d), "tweet_id"))
 
 
 def signals(spark, d, minutes=60):

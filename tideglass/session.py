@@ -39,3 +39,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     at = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to every core by a hash of the key: a small file is one split, however much each row costs."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(max(3 * context.defaultParallelism, 12), key)
