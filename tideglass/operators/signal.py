@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, StructField, StructType
 
+from tideglass.functions import draws
 from tideglass.functions.stats import wilson
 from tideglass.operators.features import add_weight
 
@@ -22,52 +26,101 @@ def bucket_signal(features: DataFrame, minutes: int = 15, min_posts: int = 5, mi
     return signals_of_sums(mergeable_sums(features, minutes, ts), min_posts, min_scoreable)
 
 
-def md5_draw(*parts: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
+LOTS, GROUPS = 8, 1024
 
 
-def xx_draw(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40))
+def _of_rows(values: DataFrame, by: str, value: str, weight: str, order: str, keep: Column | None, *more: Column) -> DataFrame:
+    """The columns that resampling needs. Python drops the rows not kept: a filter would be pushed below the
+    scores and compute them again."""
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    return values.select(F.col(by).alias("by"), F.col(value).cast("double").alias("value"), F.col(weight).cast("double").alias("weight"), F.col(order).alias("order"), kept.alias("keep"), *more)
 
 
-def bootstrap(values: DataFrame, by: str, value: str, weight: str, order: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, draw=xx_draw) -> DataFrame:
-    """(by, ci_low, ci_high): percentile interval of the weighted mean, drawing n of n with replacement.
-
-    Draw i of replicate r takes the row that a hash of (seed, group, r, i) names, so results do not
-    depend on partitions, and all draws of a replicate are one grouped sum after a join on the row's place."""
-    w = Window.partitionBy(by)
-    placed = values.select(by, value, weight, (F.row_number().over(w.orderBy(order)) - 1).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
-    draws = placed.select(by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    picks = draws.select(by, "r", (draw(F.lit(seed), F.col(by), F.col("r"), F.col("place")) % F.col("n")).cast("int").alias("place"))
-    means = picks.join(placed.drop("n"), [by, "place"]).groupBy(by, "r").agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("m"))
+def _interval(means: DataFrame, by: str, level: float) -> DataFrame:
     a = (1 - level) / 2
-    ends = means.where("m is not null").groupBy(by).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
-    return ends.select(by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    ends = means.where("m is not null").groupBy("by").agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
+    return ends.select(F.col("by").alias(by), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
+
+def _floats(column) -> np.ndarray:
+    return pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False)
 
 
-def poisson_bootstrap(values: DataFrame, by: str, value: str, weight: str, order: str, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap(values: DataFrame, by: str, value: str, weight: str, order: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, keep: Column | None = None) -> DataFrame:
+    """(by, ci_low, ci_high): percentile interval of the weighted mean, drawing n of n with replacement.
+
+    Draw i of replicate r takes the row that md5(seed:group:r:i) names, so results do not depend on
+    partitions. A group's rows go to LOTS tasks, each with its share of the replicates, which draws from
+    arrays: a task holds one group's values, and no draw is a row."""
+    rows = _of_rows(values, by, value, weight, order, keep, F.concat_ws(":", F.lit(seed).cast("string"), F.col(by).cast("string")).alias("head"))
+    lots = min(LOTS, resamples)
+
+    def dealt(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("keep"))
+            for lot in range(lots):
+                yield batch.append_column("lot", pa.array(np.full(batch.num_rows, lot, np.int32)))
+
+    def means(key, group):
+        group = group.sort_by([("order", "ascending")])
+        lot = key[0].as_py()
+        replicates = range(resamples * lot // lots, resamples * (lot + 1) // lots)
+        found = draws.resampled(group.column("head")[0].as_py(), _floats(group.column("value")), _floats(group.column("weight")), replicates)
+        return pa.table({"by": pa.array([group.column("by")[0].as_py()] * len(found), group.schema.field("by").type), "m": pa.array(found, pa.float64())})
+
+    kind = rows.schema["by"].dataType
+    lots_of = rows.mapInArrow(dealt, StructType([*rows.schema.fields, StructField("lot", IntegerType())]))
+    parts = max(3 * rows.sparkSession.sparkContext.defaultParallelism, 12)  # by number: few bytes are much work
+    each = lots_of.repartition(parts, "lot", "head").groupBy("lot", "head").applyInArrow(means, StructType([StructField("by", kind), StructField("m", DoubleType())]))
+    return _interval(each, by, level)
+
+
+def poisson_bootstrap(values: DataFrame, by: str, value: str, weight: str, order: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, keep: Column | None = None) -> DataFrame:
     """As bootstrap, but each row enters each replicate a Poisson(1) number of times: no join, one pass,
-    for groups of any size."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(by), F.col("r"), F.col(order)), F.lit(1 << 40)) / float(1 << 40)
-    times, term, total = F.lit(0), 2.718281828459045**-1, 0.0
-    for k in range(1, 12):
-        total += term
-        times = times + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    draws = values.select(by, value, weight, order, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("times", times)
-    means = draws.groupBy(by, "r").agg((F.sum(F.col(value) * F.col(weight) * F.col("times")) / F.nullif(F.sum(F.col(weight) * F.col("times")), F.lit(0.0))).alias("m"))
-    a = (1 - level) / 2
-    ends = means.where("m is not null").groupBy(by).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
-    return ends.select(by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    for groups of any size. A task sums up each group's replicates and hands on two numbers for each."""
+    rows = _of_rows(values, by, value, weight, order, keep, F.xxhash64(F.lit(seed), F.col(by)).alias("seed"))
+    whole = isinstance(rows.schema["order"].dataType, IntegralType)
+    rows = rows.withColumn("order", F.coalesce(F.col("order").cast("bigint") if whole else F.xxhash64("order"), F.lit(0).cast("bigint")))
+    kind = rows.schema["by"].dataType
+
+    def sums(batches):
+        found, arrow = {}, None
+        for batch in batches:
+            batch = batch.filter(batch.column("keep"))
+            arrow = batch.schema.field("by").type
+            groups = batch.column("by").dictionary_encode(null_encoding="encode")
+            codes = groups.indices.to_numpy()
+            places = np.argsort(codes, kind="stable")
+            starts = np.searchsorted(codes[places], np.arange(len(groups.dictionary) + 1))
+            v, w = _floats(batch.column("value")), _floats(batch.column("weight"))
+            keys, seeds = batch.column("order").to_numpy(), batch.column("seed").to_numpy()
+            for k, name in enumerate(groups.dictionary.to_pylist()):
+                at = places[starts[k] : starts[k + 1]]
+                found[name] = found.get(name, 0) + draws.poisson_sums(seeds[at[0]], v[at], w[at], keys[at], resamples)
+                if len(found) == GROUPS:
+                    yield packed(found, arrow)
+                    found = {}
+        if found:
+            yield packed(found, arrow)
+
+    def packed(found, arrow):
+        top, below = (pa.array([x[:, i] for x in found.values()], pa.list_(pa.float64())) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), arrow), top, below], names=["by", "top", "below"])
+
+    numbers = ArrayType(DoubleType())
+    parts = rows.mapInArrow(sums, StructType([StructField("by", kind), StructField("top", numbers), StructField("below", numbers)]))
+    each = parts.select("by", F.posexplode(F.arrays_zip("top", "below")).alias("r", "s"))
+    means = each.groupBy("by", "r").agg((F.sum("s.top") / F.nullif(F.sum("s.below"), F.lit(0.0))).alias("m"))
+    return _interval(means, by, level)
 
 
 def signal_with_intervals(features: DataFrame, minutes: int = 15, resamples: int = 1000, **options) -> DataFrame:
     """Bucket signals with their bootstrap interval and the bucket's start in exchange time."""
     signals = bucket_signal(features, minutes, **options)
-    rows = add_weight(features).where("evidence > 0").withColumn("bucket_start", bucket_of(F.col("created_at"), minutes))
-    live = rows.join(signals.where("not sparse").select("bucket_start"), "bucket_start", "left_semi").withColumn("b", F.unix_timestamp("bucket_start"))
-    ends = poisson_bootstrap(live, "b", "polarity", "weight", "tweet_id", resamples)
+    rows = add_weight(features).withColumn("b", F.unix_timestamp(bucket_of(F.col("created_at"), minutes)))
+    ends = poisson_bootstrap(rows, "b", "polarity", "weight", "tweet_id", resamples, keep=F.col("evidence") > 0)
     out = signals.withColumn("b", F.unix_timestamp("bucket_start")).join(ends, "b", "left").drop("b")
+    out = out.withColumns({c: F.when(~F.col("sparse"), F.col(c)) for c in ("ci_low", "ci_high")})  # sparse buckets have none
     return out.withColumn("bucket_start_ist", F.from_utc_timestamp("bucket_start", "Asia/Kolkata"))
 
 

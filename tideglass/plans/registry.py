@@ -92,15 +92,15 @@ def wilson_intervals(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    rows = features.add_weight(scored(spark, d)).where("evidence > 0").withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
-    ends = sg.bootstrap(rows, "b", "polarity", "weight", "tweet_id", draw=sg.md5_draw)
+    rows = features.add_weight(scored(spark, d)).withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
+    ends = sg.bootstrap(rows, "b", "polarity", "weight", "tweet_id", keep=F.col("evidence") > 0)
     return ends.select("b", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
 @query
 def poisson_bootstrap_ci(spark, d):
-    rows = features.add_weight(scored(spark, d)).where("evidence > 0").withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
-    return sg.poisson_bootstrap(rows, "b", "polarity", "weight", "tweet_id")
+    rows = features.add_weight(scored(spark, d)).withColumn("b", F.unix_timestamp(sg.bucket_of(F.col("created_at"), 360)))
+    return sg.poisson_bootstrap(rows, "b", "polarity", "weight", "tweet_id", keep=F.col("evidence") > 0)
 
 
 @query
