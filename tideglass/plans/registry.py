@@ -394,22 +394,22 @@ def tfidf_char(spark, d):
     return w.select("id", "term", "tf", "df", r6("weight").alias("weight"))
 
 
-def document_weights(spark, d):
+def document_terms(spark, d):
     docs, n = documents(spark, d)
-    tf = vectors.term_frequencies(docs, "doc_id", vectors.word_terms(F.col("text"), list(vectors.EXTRA_STOPS)), "word")
-    return vectors.tfidf(tf, n, 2, 20_000), n
+    return docs, n, vectors.word_terms(F.col("text"), list(vectors.EXTRA_STOPS))
 
 
 @query
 def top_terms(spark, d):
-    w, n = document_weights(spark, d)
+    docs, n, terms = document_terms(spark, d)
+    w = vectors.tfidf_of(docs, "doc_id", terms, vectors.vocabulary_of(docs, terms, 2, 20_000), n)
     return vectors.top_terms(w, n).select("term", r6("mean_weight").alias("mean_weight"))
 
 
 @query
 def matrix_density(spark, d):
-    w, n = document_weights(spark, d)
-    return vectors.density(w, n).select("n_docs", "n_terms", "nnz", r6("density_pct").alias("density_pct"))
+    docs, n, terms = document_terms(spark, d)
+    return vectors.density_of(vectors.vocabulary_of(docs, terms, 2, 20_000), n).select("n_docs", "n_terms", "nnz", r6("density_pct").alias("density_pct"))
 
 
 @query
