@@ -114,3 +114,19 @@ def test_signatures_deal_nothing_out(spark):
     assert {r["id"]: r["signature"] for r in found.collect()} == want
     edge = np.array([0, dedup.PRIME - 1, 1], np.uint64)
     assert dedup._least_of(edge, np.array([0, 1, 2]), [(1, 1), (dedup.PRIME - 1, 0)]).tolist() == [[1, 0], [0, 1], [2, dedup.PRIME - 1]]
+
+
+def test_copies_are_one_node_of_similar_pairs(spark):
+    base = [f"w{i}" for i in range(12)]
+    texts = [" ".join(base)] * 4 + [" ".join(base[:10])] * 3 + ["", "other words here now"] + [" ".join(base[::-1])] * 2 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = dedup.similar_pairs(df, "id", "t", 0.5)
+    assert "array_distinct" not in plan(found)  # the texts are taken apart once
+
+    def sets(t):
+        w = (t or "").split()
+        return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {" ".join(w)}
+
+    s = [sets(t) for t in texts]
+    want = sorted((a, b, round(x, 9)) for b in range(len(s)) for a in range(b) if (x := len(s[a] & s[b]) / len(s[a] | s[b])) >= 0.5)
+    assert rows_of(found, "a", "b", "similarity") == want and len(want) > 20
